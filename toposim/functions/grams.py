@@ -2,6 +2,13 @@
 
 Row-local: no shuffle, no Python.  Grams of ``' ' + s + ' '`` are
 "padded" grams; windows shorter than n produce nothing.
+
+Catalyst does not share sub-expressions inside lambdas, so each gram
+array is built once as a column (:func:`gram_columns`) and the measures
+are written over those columns (``*_arrays``).  The string-level
+wrappers do the same through a nested ``select``-free ``struct`` and
+are meant for ad-hoc use; :func:`toposim.operators.scoring.score_pairs`
+uses the column path.
 """
 
 from __future__ import annotations
@@ -33,55 +40,89 @@ def skip_grams(s, k: int) -> Column:
                                                      F.substring(q, i + k + 1, 1)))
 
 
+# gram arrays every native measure needs, per side
+def gram_columns(s, tag: str) -> list[Column]:
+    return [
+        F.concat(grams(s, 2), grams(s, 3)).alias(f"_g23{tag}"),
+        grams(s, 2).alias(f"_g2{tag}"),
+        F.array_distinct(grams(s, 2, padded=False)).alias(f"_bi{tag}"),
+        skip_grams(s, 1).alias(f"_k1{tag}"),
+        skip_grams(s, 2).alias(f"_k2{tag}"),
+    ]
+
+
 def _size_inter(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def gram_jaccard(s1, s2) -> Column:
-    """Jaccard of the sets of padded 2- and 3-grams."""
-    a = F.concat(grams(s1, 2), grams(s1, 3))
-    b = F.concat(grams(s2, 2), grams(s2, 3))
+def _hits(a: Column, b: Column) -> Column:
+    """sum over x in multiset a of count of x in multiset b."""
+    return F.aggregate(a, F.lit(0).cast("bigint"),
+                       lambda acc, x: acc + F.size(F.filter(b, lambda y: y == x)))
+
+
+def jaccard_arrays(a: Column, b: Column) -> Column:
     inter = _size_inter(a, b)
-    return (inter / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - inter)) \
-        .cast("double")
+    return (inter / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - inter)).cast("double")
+
+
+def cosine_arrays(a: Column, b: Column, s1: Column, s2: Column) -> Column:
+    den = F.sqrt(_hits(a, a).cast("double")) * F.sqrt(_hits(b, b).cast("double"))
+    return F.when(den == 0, F.when(s1 == s2, 1.0).otherwise(0.0)) \
+        .otherwise(_hits(a, b).cast("double") / den)
+
+
+def dice_arrays(a: Column, b: Column, s1: Column, s2: Column) -> Column:
+    union = F.size(a) + F.size(b)
+    return F.when(union == 0, F.when(s1 == s2, 1.0).otherwise(0.0)) \
+        .otherwise((2.0 * _size_inter(a, b)) / union)
 
 
-def _count_in(arr: Column, g: Column) -> Column:
-    return F.size(F.filter(arr, lambda x: x == g))
+def skipgram_arrays(a1, a2, b1, b2, s1, s2) -> Column:
+    num = _size_inter(a1, b1) + _size_inter(a2, b2)
+    den = F.size(F.array_union(a1, b1)) + F.size(F.array_union(a2, b2))
+    return F.when(den == 0, F.when(s1 == s2, 1.0).otherwise(0.0)).otherwise(num / den)
+
+
+def native_from_columns(name: str, s1: Column, s2: Column, symmetric: bool = False) -> Column:
+    """Measure ``name`` over precomputed ``gram_columns(s1,'1')`` /
+    ``gram_columns(s2,'2')``."""
+    g = F.col
+    if name == "jaccard":
+        return jaccard_arrays(g("_g231"), g("_g232"))
+    if name == "cosine":
+        return cosine_arrays(g("_g231"), g("_g232"), s1, s2)
+    if name == "strike_a_match":
+        return dice_arrays(g("_bi1"), g("_bi2"), s1, s2)
+    if name == "skipgram":
+        a2 = F.concat(g("_k11"), g("_k21"))
+        b2 = F.concat(g("_k12"), g("_k22") if symmetric else g("_k21"))
+        return skipgram_arrays(g("_g21"), a2, g("_g22"), b2, s1, s2)
+    raise KeyError(name)
+
+
+# ---- string-level wrappers ------------------------------------------------
+
+def gram_jaccard(s1, s2) -> Column:
+    """Jaccard of the sets of padded 2- and 3-grams."""
+    return jaccard_arrays(F.concat(grams(s1, 2), grams(s1, 3)), F.concat(grams(s2, 2), grams(s2, 3)))
 
 
 def gram_cosine(s1, s2) -> Column:
     """Cosine of padded 2/3-gram count vectors."""
-    a = F.concat(grams(s1, 2), grams(s1, 3))
-    b = F.concat(grams(s2, 2), grams(s2, 3))
-    dot = F.aggregate(F.array_distinct(a), F.lit(0).cast("bigint"),
-                      lambda acc, g: acc + _count_in(a, g) * _count_in(b, g))
-    na = F.aggregate(F.array_distinct(a), F.lit(0).cast("bigint"),
-                     lambda acc, g: acc + _count_in(a, g) * _count_in(a, g))
-    nb = F.aggregate(F.array_distinct(b), F.lit(0).cast("bigint"),
-                     lambda acc, g: acc + _count_in(b, g) * _count_in(b, g))
-    den = F.sqrt(na.cast("double")) * F.sqrt(nb.cast("double"))
-    return F.when(den == 0, F.when(c(s1) == c(s2), 1.0).otherwise(0.0)) \
-        .otherwise(dot.cast("double") / den)
+    return cosine_arrays(F.concat(grams(s1, 2), grams(s1, 3)), F.concat(grams(s2, 2), grams(s2, 3)),
+                         c(s1), c(s2))
 
 
 def dice_bigrams(s1, s2) -> Column:
     """C3 (strike-a-match): unpadded bigram sets, 2*hits/(n1+n2)."""
-    a = F.array_distinct(grams(s1, 2, padded=False))
-    b = F.array_distinct(grams(s2, 2, padded=False))
-    union = F.size(a) + F.size(b)
-    return F.when(union == 0, F.when(c(s1) == c(s2), 1.0).otherwise(0.0)) \
-        .otherwise((2.0 * _size_inter(a, b)) / union)
+    return dice_arrays(F.array_distinct(grams(s1, 2, padded=False)),
+                       F.array_distinct(grams(s2, 2, padded=False)), c(s1), c(s2))
 
 
 def skipgram_jaccard(s1, s2, symmetric: bool = False) -> Column:
     """C4.  By default b's skip set mixes b's 1-skips with a's 2-skips,
     as the specified behaviour does; ``symmetric=True`` uses b's own."""
-    a1 = grams(s1, 2)
     a2 = F.concat(skip_grams(s1, 1), skip_grams(s1, 2))
-    b1 = grams(s2, 2)
     b2 = F.concat(skip_grams(s2, 1), skip_grams(s2 if symmetric else s1, 2))
-    num = _size_inter(a1, b1) + _size_inter(a2, b2)
-    den = F.size(F.array_union(a1, b1)) + F.size(F.array_union(a2, b2))
-    return F.when(den == 0, F.when(c(s1) == c(s2), 1.0).otherwise(0.0)) \
-        .otherwise(num / den)
+    return skipgram_arrays(grams(s1, 2), a2, grams(s2, 2), b2, c(s1), c(s2))

@@ -1,8 +1,9 @@
 """Pair scoring: add one double column per measure to a pairs DataFrame.
 
 All measures are row-local (native expressions or Arrow kernels), so
-scoring never shuffles; it is added in a single ``select`` to keep the
-plan flat however many measures are requested.
+scoring never shuffles.  Gram arrays are projected once per side and
+the measures are computed over them in a second projection, because
+Catalyst does not share sub-expressions that sit inside lambdas.
 """
 
 from __future__ import annotations
@@ -12,16 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toposim.functions.registry import measure
-from toposim.functions.text import c
-
-
-def score_columns(s1, s2, measures: Sequence[str], prefix: str = "") -> list:
-    return [measure(m)(c(s1), c(s2)).alias(prefix + m) for m in measures]
+from toposim.functions.grams import gram_columns, native_from_columns
+from toposim.functions.registry import NATIVE, measure
 
 
 def score_pairs(df: DataFrame, s1: str, s2: str, measures: Sequence[str],
                 prefix: str = "") -> DataFrame:
     """``df`` + one column ``prefix + measure`` per measure."""
-    return df.select("*", *score_columns(F.coalesce(F.col(s1), F.lit("")),
-                                         F.coalesce(F.col(s2), F.lit("")), measures, prefix))
+    cols = df.columns
+    a, b = F.coalesce(F.col(s1), F.lit("")), F.coalesce(F.col(s2), F.lit(""))
+    helpers = [a.alias("_s1"), b.alias("_s2")]
+    if any(m in NATIVE for m in measures):
+        helpers += gram_columns(F.col("_s1"), "1") + gram_columns(F.col("_s2"), "2")
+        # gram_columns refer to _s1/_s2, so project the strings first
+        staged = df.select("*", a.alias("_s1"), b.alias("_s2")) \
+            .select(*cols, "_s1", "_s2", *gram_columns(F.col("_s1"), "1"),
+                    *gram_columns(F.col("_s2"), "2"))
+    else:
+        staged = df.select("*", a.alias("_s1"), b.alias("_s2"))
+    x, y = F.col("_s1"), F.col("_s2")
+    out = [(native_from_columns(m, x, y) if m in NATIVE else measure(m)(x, y)).alias(prefix + m)
+           for m in measures]
+    return staged.select(*cols, *out)

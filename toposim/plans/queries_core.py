@@ -148,12 +148,7 @@ def q_address(spark, sf_dir):
 
 # ---------------------------------------------------------------- B1/B2/B9 -
 
-def _canon_sql(s):
-    out = f"strip_accents(lower({s}))"
-    for a, b in T.TRANSLIT:
-        out = f"replace({out}, '{a}', '{b}')"
-    cls = T.PUNCTUATION.replace("'", "''").replace("-", "\\-")
-    return f"regexp_replace({out}, '[{cls}]', '', 'g')"
+_canon_sql = Q.canon
 
 
 _ALPHA_SQL = " ".join(

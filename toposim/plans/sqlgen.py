@@ -131,3 +131,17 @@ def osa_ctes(src: str, key: str, a: str, b: str, name: str = "osa") -> str:
 
 def osa_sim(cte: str = "osa") -> str:
     return f"(CASE WHEN {cte}.osa_n = 0 THEN 1.0 ELSE 1.0 - CAST({cte}.osa_d AS DOUBLE) / {cte}.osa_n END)"
+
+
+def canon(s: str) -> str:
+    """B2: lower -> strip accents -> transliteration -> delete punctuation."""
+    from toposim.functions import text as T
+    out = f"strip_accents(lower({s}))"
+    for a, b in T.TRANSLIT:
+        out = f"replace({out}, '{a}', '{b}')"
+    cls = T.PUNCTUATION.replace("'", "''").replace("-", "\\-")
+    return f"regexp_replace({out}, '[{cls}]', '', 'g')"
+
+
+def str_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
