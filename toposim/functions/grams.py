@@ -84,20 +84,22 @@ def skipgram_arrays(a1, a2, b1, b2, s1, s2) -> Column:
     return F.when(den == 0, F.when(s1 == s2, 1.0).otherwise(0.0)).otherwise(num / den)
 
 
-def native_from_columns(name: str, s1: Column, s2: Column, symmetric: bool = False) -> Column:
-    """Measure ``name`` over precomputed ``gram_columns(s1,'1')`` /
-    ``gram_columns(s2,'2')``."""
-    g = F.col
+def native_from_columns(name: str, s1: Column, s2: Column, t1: str = "1", t2: str = "2",
+                        symmetric: bool = False) -> Column:
+    """Measure ``name`` over precomputed ``gram_columns(s1, t1)`` /
+    ``gram_columns(s2, t2)``."""
+    def g(kind, t):
+        return F.col(f"_{kind}{t}")
     if name == "jaccard":
-        return jaccard_arrays(g("_g231"), g("_g232"))
+        return jaccard_arrays(g("g23", t1), g("g23", t2))
     if name == "cosine":
-        return cosine_arrays(g("_g231"), g("_g232"), s1, s2)
+        return cosine_arrays(g("g23", t1), g("g23", t2), s1, s2)
     if name == "strike_a_match":
-        return dice_arrays(g("_bi1"), g("_bi2"), s1, s2)
+        return dice_arrays(g("bi", t1), g("bi", t2), s1, s2)
     if name == "skipgram":
-        a2 = F.concat(g("_k11"), g("_k21"))
-        b2 = F.concat(g("_k12"), g("_k22") if symmetric else g("_k21"))
-        return skipgram_arrays(g("_g21"), a2, g("_g22"), b2, s1, s2)
+        a2 = F.concat(g("k1", t1), g("k2", t1))
+        b2 = F.concat(g("k1", t2), g("k2", t2) if symmetric else g("k2", t1))
+        return skipgram_arrays(g("g2", t1), a2, g("g2", t2), b2, s1, s2)
     raise KeyError(name)
 
 

@@ -4,6 +4,10 @@ All measures are row-local (native expressions or Arrow kernels), so
 scoring never shuffles.  Gram arrays are projected once per side and
 the measures are computed over them in a second projection, because
 Catalyst does not share sub-expressions that sit inside lambdas.
+
+:func:`score_many` scores several string pairs of the same row in one
+go: every kernel call then sits in one projection, so Spark evaluates
+them in a single Arrow stage instead of a chain of them.
 """
 
 from __future__ import annotations
@@ -17,21 +21,30 @@ from toposim.functions.grams import gram_columns, native_from_columns
 from toposim.functions.registry import NATIVE, measure
 
 
+def score_many(df: DataFrame, jobs: Sequence[tuple[str, str, Sequence[str], str]]) -> DataFrame:
+    """``jobs`` = [(s1, s2, measures, prefix)]: adds ``prefix + measure``."""
+    cols = df.columns
+    strings = []
+    for n, (s1, s2, _, _) in enumerate(jobs):
+        strings += [F.coalesce(F.col(s1), F.lit("")).alias(f"_s1_{n}"),
+                    F.coalesce(F.col(s2), F.lit("")).alias(f"_s2_{n}")]
+    st = df.select("*", *strings)
+    helpers = []
+    for n, (_, _, ms, _) in enumerate(jobs):
+        if any(m in NATIVE for m in ms):
+            helpers += gram_columns(F.col(f"_s1_{n}"), f"1_{n}") + gram_columns(F.col(f"_s2_{n}"), f"2_{n}")
+    if helpers:
+        st = st.select("*", *helpers)
+    out = []
+    for n, (_, _, ms, prefix) in enumerate(jobs):
+        x, y = F.col(f"_s1_{n}"), F.col(f"_s2_{n}")
+        for m in ms:
+            e = native_from_columns(m, x, y, f"1_{n}", f"2_{n}") if m in NATIVE else measure(m)(x, y)
+            out.append(e.alias(prefix + m))
+    return st.select(*cols, *out)
+
+
 def score_pairs(df: DataFrame, s1: str, s2: str, measures: Sequence[str],
                 prefix: str = "") -> DataFrame:
     """``df`` + one column ``prefix + measure`` per measure."""
-    cols = df.columns
-    a, b = F.coalesce(F.col(s1), F.lit("")), F.coalesce(F.col(s2), F.lit(""))
-    helpers = [a.alias("_s1"), b.alias("_s2")]
-    if any(m in NATIVE for m in measures):
-        helpers += gram_columns(F.col("_s1"), "1") + gram_columns(F.col("_s2"), "2")
-        # gram_columns refer to _s1/_s2, so project the strings first
-        staged = df.select("*", a.alias("_s1"), b.alias("_s2")) \
-            .select(*cols, "_s1", "_s2", *gram_columns(F.col("_s1"), "1"),
-                    *gram_columns(F.col("_s2"), "2"))
-    else:
-        staged = df.select("*", a.alias("_s1"), b.alias("_s2"))
-    x, y = F.col("_s1"), F.col("_s2")
-    out = [(native_from_columns(m, x, y) if m in NATIVE else measure(m)(x, y)).alias(prefix + m)
-           for m in measures]
-    return staged.select(*cols, *out)
+    return score_many(df, [(s1, s2, measures, prefix)])
