@@ -57,3 +57,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, label: str = "stage"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back.
+
+    This cuts the plan (Catalyst re-plans from a plain scan, with column
+    pruning and filter push-down) and survives executor loss, and unlike
+    ``Dataset.checkpoint()`` on an unpersisted plan it computes the data
+    only once.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/toposim-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
