@@ -19,25 +19,25 @@ from pyspark.sql import functions as F
 from toposim.functions.text import c
 
 
-def _windows(p: Column, width: int, pick) -> Column:
-    """Every window of ``width`` characters of ``p``, mapped by ``pick``."""
-    n_win = F.length(p) - width + 1
-    idx = F.sequence(F.lit(1), F.greatest(n_win, F.lit(1)))
-    out = F.transform(idx, lambda i: F.when(i <= n_win, pick(p, i)))
-    return F.filter(out, lambda g: g.isNotNull())
+def _windows(p: Column, width: int) -> Column:
+    """Every window of ``width`` characters of ``p``, in order.
+
+    One linear regex scan: a zero-width lookahead captures each window
+    (``substring`` in a loop would re-walk the UTF-8 string for every
+    position, which is quadratic on long texts)."""
+    return F.regexp_extract_all(p, F.lit("(?s)(?=(.{%d}))" % width), 1)
 
 
 def grams(s, n: int, padded: bool = True) -> Column:
     p = F.concat(F.lit(" "), c(s), F.lit(" ")) if padded else c(s)
-    return _windows(p, n, lambda q, i: F.substring(q, i, n))
+    return _windows(p, n)
 
 
 def skip_grams(s, k: int) -> Column:
     """Padded 2-grams with ``k`` skipped characters: first and last char of
     each window of ``2 + k`` characters."""
     p = F.concat(F.lit(" "), c(s), F.lit(" "))
-    return _windows(p, 2 + k, lambda q, i: F.concat(F.substring(q, i, 1),
-                                                     F.substring(q, i + k + 1, 1)))
+    return F.transform(_windows(p, 2 + k), lambda w: F.concat(F.substring(w, 1, 1), F.substring(w, -1, 1)))
 
 
 # gram arrays every native measure needs, per side

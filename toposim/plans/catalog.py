@@ -32,4 +32,4 @@ def rnd(col, d: int = 6):
 
 
 # --- modules that register queries ---------------------------------------
-from toposim.plans import queries_core, queries_eval, queries_lgm, queries_ml, queries_osm, queries_spatial, queries_terms  # noqa: E402,F401,E501
+from toposim.plans import queries_core, queries_eval, queries_lgm, queries_ml, queries_osm, queries_pairs, queries_spatial, queries_terms  # noqa: E402,F401,E501
