@@ -26,3 +26,69 @@ def q_gram_copies(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     _, copies = similarity_join(d, "doc_id", "text", GRAM_JOIN_T)
     return copies.where(F.col("id") != F.col("rep"))
+
+
+from toposim.functions import text as _T  # noqa: E402
+from toposim.operators.pairgen import build_dataset, places, positive_pairs  # noqa: E402
+from toposim.plans import sqlgen as Q  # noqa: E402
+
+_NAMES_SQL = """list_sort(list_distinct(list_filter(list_concat(
+    list_transform(string_split(coalesce(alternate_names, ''), ','), lambda x: trim(x)),
+    [trim(coalesce(name, '')), trim(coalesce(asciiname, ''))]), lambda x: length(x) > 2)))"""
+
+_POS_SQL = f"""
+, pl AS (SELECT geonameid AS id, coalesce(country_code, 'unknown') AS country, {_NAMES_SQL} AS names FROM gazetteer),
+pl2 AS (SELECT * FROM pl WHERE len(names) >= 3),
+cmb AS (SELECT id, country, unnest(flatten(list_transform(range(1, len(names) + 1), lambda i:
+          list_transform(range(i + 1, len(names) + 1), lambda j: {{'n1': names[i], 'n2': names[j]}})))) AS p
+        FROM pl2),
+pos AS (SELECT p.n1 AS n1, p.n2 AS n2, id, country FROM cmb
+        WHERE {Q.jaccard('lower(p.n1)', 'lower(p.n2)')} <> 1.0)"""
+
+
+@register("pos_pairs", V.with_views(_POS_SQL + "\nSELECT n1, n2, id, country FROM pos", "gazetteer"))
+def q_pos_pairs(spark, sf_dir):
+    """G7 (+ B12): name pairs of the same place."""
+    return positive_pairs(places(V.gazetteer(spark, sf_dir)))
+
+
+def _alpha(col):
+    whens = " ".join(f"WHEN regexp_matches({col}, '\\p{{{'Han' if s == 'CJK' else s.capitalize()}}}') THEN '{s}'"
+                     for s in _T.SCRIPTS)
+    return f"CASE {whens} ELSE 'UND' END"
+
+
+_BUILD_SQL = V.with_views(_POS_SQL + f""",
+pool AS (SELECT id, country, unnest(names) AS name FROM pl2),
+ranked AS (SELECT id, country, name,
+             row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '|2020') || '|' || CAST(id AS VARCHAR)
+                                         || '|' || name) AS rank,
+             count(*) OVER () AS P FROM pool),
+span AS (SELECT id, min(rank) AS start, count(*) AS m, max(P) AS P FROM ranked GROUP BY id),
+pu AS (SELECT pos.n1, pos.id, pos.country, span.start, span.m,
+         CAST('0x' || substr(md5(pos.n1 || '|' || pos.n2 || '|' || CAST(pos.id AS VARCHAR) || '|2020'), 1, 12)
+              AS BIGINT) % (span.P - span.m) AS u
+       FROM pos JOIN span USING (id) WHERE span.P > span.m),
+neg AS (SELECT pu.n1, r.name AS n2, pu.id AS id1, r.id AS id2, pu.country AS cc1, r.country AS cc2
+        FROM pu JOIN ranked r ON r.rank = CASE WHEN pu.u + 1 < pu.start THEN pu.u + 1 ELSE pu.u + 1 + pu.m END),
+both_ AS (SELECT DISTINCT * FROM (
+          SELECT n1 AS s1, n2 AS s2, 1 AS status, CAST(id AS VARCHAR) AS id1, CAST(id AS VARCHAR) AS id2,
+                 country AS cc1, country AS cc2 FROM pos
+          UNION ALL
+          SELECT n1, n2, 0, CAST(id1 AS VARCHAR), CAST(id2 AS VARCHAR), cc1, cc2 FROM neg)),
+keyed AS (SELECT *, md5(s1 || chr(9) || s2 || chr(9) || CAST(status AS VARCHAR) || chr(9) || id1 || chr(9) || id2)
+            AS k FROM both_),
+rk AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY md5(k || '|2020')) AS pos FROM keyed),
+mm AS (SELECT least(100000, min(n)) AS m, count(*) AS nc FROM (SELECT count(*) AS n FROM keyed GROUP BY status))
+SELECT s1, s2, CAST(status AS INTEGER) AS status, id1, id2, {_alpha('s1')} AS alphabet1, {_alpha('s2')} AS alphabet2,
+       cc1, cc2, pos
+FROM rk, mm WHERE mm.nc = 2 AND pos <= mm.m""", "gazetteer")
+
+
+@register("build_dataset", _BUILD_SQL)
+def q_build_dataset(spark, sf_dir):
+    """Positives + one exact hash-drawn negative each, de-duplicated,
+    balanced and interleaved, in the 9-column layout (+ pos)."""
+    out = build_dataset(V.gazetteer(spark, sf_dir), 100000)
+    return out.select("s1", "s2", F.col("status").cast("int").alias("status"), "id1", "id2", "alphabet1",
+                      "alphabet2", "cc1", "cc2", "pos")

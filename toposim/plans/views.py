@@ -155,6 +155,27 @@ SELECT id AS poi_id, name, lon AS x, lat AS y FROM ({PLACES_A_SQL})"""
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix ``sql`` with the named derived views as CTEs."""
     defs = {"pairs": PAIRS_SQL, "polygons": POLYGONS_SQL, "pois": POIS_SQL,
-            "places_a": PLACES_A_SQL, "places_b": PLACES_B_SQL}
+            "places_a": PLACES_A_SQL, "places_b": PLACES_B_SQL, "gazetteer": GAZETTEER_SQL}
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in names)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql}"
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gazetteer-shaped rows from ``part``: several alternate spellings
+    per place (some too short to count), a country code from the size."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    alts = F.concat_ws(",", F.upper("p_name"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")),
+                       F.translate(F.col("p_name"), "aeo", "àéö"), F.substring("p_name", 1, 2),
+                       F.concat(F.lit(" "), F.lower("p_type"), F.lit(" "), F.col("p_name")))
+    return p.select(F.col("p_partkey").alias("geonameid"),
+                    F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("name"),
+                    F.col("p_name").alias("asciiname"), alts.alias("alternate_names"),
+                    F.concat(F.lit("C"), (F.col("p_size") % 25).cast("string")).alias("country_code"))
+
+
+GAZETTEER_SQL = """
+SELECT p_partkey AS geonameid, p_name || ' ' || lower(p_type) AS name, p_name AS asciiname,
+       upper(p_name) || ',' || replace(p_name, ' ', '-') || ',' || translate(p_name, 'aeo', 'àéö') || ','
+         || substr(p_name, 1, 2) || ',' || ' ' || lower(p_type) || ' ' || p_name AS alternate_names,
+       'C' || CAST(p_size % 25 AS VARCHAR) AS country_code
+FROM part"""
