@@ -33,3 +33,39 @@ def q_lgm_sim(spark, sf_dir):
     out = lgm_scores(p, "a", "b", ms, freq, list_scores_for="damerau_levenshtein")
     cols = [f"lgm_{m}" for m in ms] + ["LGM_baseScore", "LGM_mismatchScore", "LGM_specialScore"]
     return out.select("idx", *[rnd(F.col(x)).alias(x) for x in cols])
+
+
+from toposim.operators.grid import best_params, grid_accuracy, list_features  # noqa: E402
+from toposim.operators.scoring import score_pairs  # noqa: E402
+from toposim.operators.thresholds import accuracy_by_threshold, best_threshold  # noqa: E402
+
+
+@register("grid_params")
+def q_grid_params(spark, sf_dir):
+    """Best (split threshold, weights, threshold) per lgm measure."""
+    freq = fixture_frequent_terms(spark, sf_dir)
+    p = align_pairs(V.pairs(spark, sf_dir).select("idx", "Name1", "Name2", "Class"), "Name1", "Name2")
+    f9 = list_features(p, "a", "b", "Class", in_group("lgm"), freq)
+    best = best_params(grid_accuracy(f9))
+    return best.select("measure", rnd(F.col("accuracy"), 9).alias("accuracy"), "threshold", "split",
+                       "w_base", "w_mis", "w_special")
+
+
+@register("best_threshold_basic")
+def q_best_basic(spark, sf_dir):
+    """J2 (basic): best threshold for each of the 14 basic measures on the
+    raw names."""
+    ms = in_group("basic")
+    s = score_pairs(V.pairs(spark, sf_dir).select("Name1", "Name2", "Class"), "Name1", "Name2", ms)
+    b = best_threshold(accuracy_by_threshold(s, "Class", ms))
+    return b.select("measure", "threshold", rnd(F.col("accuracy"), 9).alias("accuracy"))
+
+
+@register("best_threshold_sorted")
+def q_best_sorted(spark, sf_dir):
+    """J2 (sorted): canonical, natural-sorted names, 13 measures."""
+    ms = in_group("sorted")
+    p = align_pairs(V.pairs(spark, sf_dir).select("Name1", "Name2", "Class"), "Name1", "Name2", mode="always")
+    s = score_pairs(p, "a", "b", ms)
+    b = best_threshold(accuracy_by_threshold(s, "Class", ms))
+    return b.select("measure", "threshold", rnd(F.col("accuracy"), 9).alias("accuracy"))
