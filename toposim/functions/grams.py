@@ -35,9 +35,11 @@ def grams(s, n: int, padded: bool = True) -> Column:
 
 def skip_grams(s, k: int) -> Column:
     """Padded 2-grams with ``k`` skipped characters: first and last char of
-    each window of ``2 + k`` characters."""
+    each window of ``2 + k`` characters (two lookahead scans, zipped)."""
     p = F.concat(F.lit(" "), c(s), F.lit(" "))
-    return F.transform(_windows(p, 2 + k), lambda w: F.concat(F.substring(w, 1, 1), F.substring(w, -1, 1)))
+    first = F.regexp_extract_all(p, F.lit("(?s)(?=(.).{%d})" % (k + 1)), 1)
+    last = F.regexp_extract_all(p, F.lit("(?s)(?=.{%d}(.))" % (k + 1)), 1)
+    return F.zip_with(first, last, lambda x, y: F.concat(x, y))
 
 
 # gram arrays every native measure needs, per side
@@ -56,9 +58,12 @@ def _size_inter(a: Column, b: Column) -> Column:
 
 
 def _hits(a: Column, b: Column) -> Column:
-    """sum over x in multiset a of count of x in multiset b."""
+    """sum over x in multiset a of count of x in multiset b.
+
+    The count is ``size(b) - size(array_remove(b, x))``: one native call
+    per element instead of a nested lambda (lambdas are interpreted)."""
     return F.aggregate(a, F.lit(0).cast("bigint"),
-                       lambda acc, x: acc + F.size(F.filter(b, lambda y: y == x)))
+                       lambda acc, x: acc + (F.size(b) - F.size(F.array_remove(b, x))))
 
 
 def jaccard_arrays(a: Column, b: Column) -> Column:
