@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,16 @@ def build_dataset(gaz: DataFrame, n_max: int, min_names: int = MIN_NAMES, seed:
                        F.md5(F.concat_ws("\t", "s1", "s2", F.col("status").cast("string"), "id1", "id2"))
                        .alias("_rowkey"))
     return balanced_sample(both, "status", "_rowkey", n_max, seed).drop("_rowkey")
+
+
+def region_filter(df: DataFrame, country_col: str, regions: DataFrame, keep: Sequence[str],
+                  exclude: Sequence[str] = ()) -> DataFrame:
+    """Keep rows whose country maps to a continent in ``keep`` and is
+    not in ``exclude``; unknown countries drop.  ``regions`` is the
+    caller's ``(country, continent)`` dimension — one row per country,
+    so it is bounded by the number of countries and broadcast."""
+    dim = regions.where(F.col("continent").isin(*keep))
+    if exclude:
+        dim = dim.where(~F.col("country").isin(*exclude))
+    return df.join(F.broadcast(dim.select(F.col("country").alias(country_col)).distinct()), country_col,
+                   "left_semi")

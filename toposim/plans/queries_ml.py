@@ -53,3 +53,24 @@ def q_tune(spark, sf_dir):
     f = fixture_features(spark, sf_dir)
     params, metrics = tune(f, feature_names("lgm"), "DecisionTree")
     return metrics.select(*[F.lit(v).alias(k) for k, v in sorted(params.items())], "*")
+
+
+from toposim.operators.splits import stratified_kfold  # noqa: E402
+from toposim.plans.models import evaluate_pre_split, select_model  # noqa: E402
+
+
+@register("select_model")
+def q_select_model(spark, sf_dir):
+    """M5/L2: 5-fold ROC-AUC of three classifier families, best flagged."""
+    f = fixture_features(spark, sf_dir)
+    return select_model(f, feature_names("lgm"), ["DecisionTree", "ExtraTrees", "XGBoost"])
+
+
+@register("eval_pre_split")
+def q_eval_pre_split(spark, sf_dir):
+    """M8: train on folds 0-3 (80 % stratified), test on fold 4."""
+    f = fixture_features(spark, sf_dir)
+    folds = stratified_kfold(f.select("index", "class"), "class", "index", 5).select("index", "fold")
+    j = f.join(folds, "index")
+    train, test = j.where("fold < 4").drop("fold"), j.where("fold = 4").drop("fold")
+    return evaluate_pre_split(train, test, feature_names("lgm"), ["XGBoost", "DecisionTree"])

@@ -92,3 +92,30 @@ def q_build_dataset(spark, sf_dir):
     out = build_dataset(V.gazetteer(spark, sf_dir), 100000)
     return out.select("s1", "s2", F.col("status").cast("int").alias("status"), "id1", "id2", "alphabet1",
                       "alphabet2", "cc1", "cc2", "pos")
+
+
+from toposim.operators.pairgen import region_filter  # noqa: E402
+from toposim.functions.text import only_alphabet  # noqa: E402
+
+
+def _country_regions(spark, sf_dir):
+    """(country, continent) from nation/region: country 'C<k>' lies in the
+    region of nation k."""
+    n = V.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = V.table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("country"),
+        F.col("r_name").alias("continent"))
+
+
+@register("region_filter", V.with_views("""
+, dim AS (SELECT 'C' || CAST(n.n_nationkey AS VARCHAR) AS country, r.r_name AS continent
+          FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT g.geonameid, g.country_code FROM gazetteer g
+WHERE g.country_code IN (SELECT country FROM dim WHERE continent IN ('AFRICA', 'EUROPE') AND country <> 'C5')
+  AND NOT regexp_matches(g.alternate_names, '[^\\p{Latin}\\P{L}]')""", "gazetteer"))
+def q_region_filter(spark, sf_dir):
+    """B11 + B10: latin-only gazetteer rows of two continents, minus one country."""
+    g = V.gazetteer(spark, sf_dir)
+    kept = region_filter(g, "country_code", _country_regions(spark, sf_dir), ["AFRICA", "EUROPE"], ["C5"])
+    return kept.where(only_alphabet(F.col("alternate_names"), "LATIN")).select("geonameid", "country_code")
