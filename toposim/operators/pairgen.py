@@ -107,3 +107,45 @@ def region_filter(df: DataFrame, country_col: str, regions: DataFrame, keep: Seq
         dim = dim.where(~F.col("country").isin(*exclude))
     return df.join(F.broadcast(dim.select(F.col("country").alias(country_col)).distinct()), country_col,
                    "left_semi")
+
+
+def hard_pairs(gaz: DataFrame, per_place: int = 2, min_len: int = 3, min_names: int = MIN_NAMES,
+               seed: int = SEED) -> DataFrame:
+    """Per place, up to ``per_place`` positive name pairs and up to
+    ``per_place`` hard negatives: a name of the previous place (id order)
+    with a name of this place that shares grams (jaccard > 0) but differs
+    after lower-casing.  Picks are the first by md5 order.  The previous
+    place comes from an exact rank (two-level, no global window) and one
+    equi-join on it; name products are per row pair."""
+    from pyspark.sql import Window
+
+    from toposim.operators.splits import rank_by_key
+
+    pl = gaz.select(F.col("geonameid").alias("id"), F.coalesce("country_code", F.lit("unknown")).alias("country"),
+                    name_array(F.col("alternate_names"), F.col("name"), F.col("asciiname"), min_len)
+                    .alias("names")).where(F.size("names") >= min_names)
+    ranked = rank_by_key(pl.withColumn("_all", F.lit(0)), "_all", "id").select("id", "country", "names", "_rank")
+    prev = ranked.select((F.col("_rank") + 1).alias("_rank"), F.col("id").alias("pid"),
+                         F.col("country").alias("pcountry"), F.col("names").alias("pnames"))
+    pairs = ranked.join(prev, "_rank")
+    cand = pairs.select("id", "country", "pid", "pcountry",
+                        F.explode(F.flatten(F.transform("pnames", lambda x: F.transform(
+                            "names", lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("c")) \
+        .select("id", "country", "pid", "pcountry", F.col("c.x").alias("x"), F.col("c.y").alias("y")) \
+        .where((gram_jaccard(F.col("x"), F.col("y")) > 0) & (F.lower("x") != F.lower("y")))
+    key = F.md5(F.concat_ws("|", F.col("x"), F.col("y"), F.lit(str(seed))))
+    w = Window.partitionBy("id").orderBy(key)
+    neg = cand.select("*", F.row_number().over(w).alias("rn")).where(F.col("rn") <= per_place) \
+        .select(F.col("x").alias("s1"), F.col("y").alias("s2"), F.lit(0).alias("status"),
+                F.col("pid").cast("string").alias("id1"), F.col("id").cast("string").alias("id2"),
+                F.col("pcountry").alias("cc1"), F.col("country").alias("cc2"))
+    pos = positive_pairs(pl)
+    pkey = F.md5(F.concat_ws("|", F.col("n1"), F.col("n2"), F.lit(str(seed))))
+    pw = Window.partitionBy("id").orderBy(pkey)
+    pos = pos.select("*", F.row_number().over(pw).alias("rn")).where(F.col("rn") <= per_place) \
+        .select(F.col("n1").alias("s1"), F.col("n2").alias("s2"), F.lit(1).alias("status"),
+                F.col("id").cast("string").alias("id1"), F.col("id").cast("string").alias("id2"),
+                F.col("country").alias("cc1"), F.col("country").alias("cc2"))
+    out = pos.unionByName(neg)
+    return out.select("s1", "s2", "status", "id1", "id2", detect_alphabet("s1").alias("alphabet1"),
+                      detect_alphabet("s2").alias("alphabet2"), "cc1", "cc2")

@@ -119,3 +119,41 @@ def q_region_filter(spark, sf_dir):
     g = V.gazetteer(spark, sf_dir)
     kept = region_filter(g, "country_code", _country_regions(spark, sf_dir), ["AFRICA", "EUROPE"], ["C5"])
     return kept.where(only_alphabet(F.col("alternate_names"), "LATIN")).select("geonameid", "country_code")
+
+
+from toposim.operators.pairgen import hard_pairs  # noqa: E402
+
+_NAMES3_SQL = _NAMES_SQL.replace("length(x) > 2", "length(x) > 3")
+
+
+@register("hard_pairs", V.with_views(f"""
+, pl AS (SELECT geonameid AS id, coalesce(country_code, 'unknown') AS country, {_NAMES3_SQL} AS names
+         FROM gazetteer),
+pl2 AS (SELECT *, row_number() OVER (ORDER BY id) AS rk FROM pl WHERE len(names) >= 3),
+nb AS (SELECT c.id, c.country, p.id AS pid, p.country AS pcountry,
+              unnest(flatten(list_transform(p.names, lambda x: list_transform(c.names, lambda y:
+                {{'x': x, 'y': y}})))) AS cc
+       FROM pl2 c JOIN pl2 p ON p.rk + 1 = c.rk),
+cand AS (SELECT id, country, pid, pcountry, cc.x AS x, cc.y AS y FROM nb
+         WHERE {Q.jaccard('cc.x', 'cc.y')} > 0 AND lower(cc.x) <> lower(cc.y)),
+neg AS (SELECT x AS s1, y AS s2, 0 AS status, CAST(pid AS VARCHAR) AS id1, CAST(id AS VARCHAR) AS id2,
+               pcountry AS cc1, country AS cc2 FROM (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(x || '|' || y || '|2020')) AS rn FROM cand)
+        WHERE rn <= 2),
+cmb AS (SELECT id, country, unnest(flatten(list_transform(range(1, len(names) + 1), lambda i:
+          list_transform(range(i + 1, len(names) + 1), lambda j: {{'n1': names[i], 'n2': names[j]}})))) AS p
+        FROM pl2),
+pp AS (SELECT p.n1 AS n1, p.n2 AS n2, id, country FROM cmb WHERE {Q.jaccard('lower(p.n1)', 'lower(p.n2)')} <> 1.0),
+pos AS (SELECT n1 AS s1, n2 AS s2, 1 AS status, CAST(id AS VARCHAR) AS id1, CAST(id AS VARCHAR) AS id2,
+               country AS cc1, country AS cc2 FROM (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(n1 || '|' || n2 || '|2020')) AS rn FROM pp)
+        WHERE rn <= 2),
+allp AS (SELECT * FROM pos UNION ALL SELECT * FROM neg)
+SELECT s1, s2, CAST(status AS INTEGER) AS status, id1, id2, {_alpha('s1')} AS alphabet1,
+       {_alpha('s2')} AS alphabet2, cc1, cc2 FROM allp""", "gazetteer"))
+def q_hard_pairs(spark, sf_dir):
+    """2 positives and 2 hard negatives (previous place, shared grams)
+    per place."""
+    out = hard_pairs(V.gazetteer(spark, sf_dir))
+    return out.select("s1", "s2", F.col("status").cast("int").alias("status"), "id1", "id2", "alphabet1",
+                      "alphabet2", "cc1", "cc2")
