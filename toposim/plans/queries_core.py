@@ -168,3 +168,47 @@ def q_normalize_text(spark, sf_dir):
     return d.select("doc_id", F.md5(canon).alias("canon_md5"), F.length(canon).alias("canon_len"),
                     T.detect_alphabet("text").alias("alphabet"),
                     T.only_alphabet("text", "LATIN").cast("int").alias("only_latin"))
+
+
+# ---------------------------------------------------------------- B4/B5 ----
+
+def _nat_key_sql(t):
+    segs = f"list_transform(regexp_extract_all({t}, '([0-9]+|[^0-9]+)', 1), lambda x: " \
+           f"CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 40, '0') ELSE x END)"
+    return f"CASE WHEN regexp_matches({t}, '^[0-9]') THEN list_concat([''], {segs}) ELSE {segs} END"
+
+
+@register("natural_sort", V.with_views(f"""
+, t AS (SELECT idx, string_split(Address1, ' ') AS a FROM pairs)
+SELECT idx, array_to_string(list_transform(list_sort(list_transform(a, lambda tok, i:
+         {{'k': {_nat_key_sql('tok')}, 'p': i, 't': tok}})), lambda s: s.t), ' ') AS sorted_address
+FROM t""", "pairs"))
+def q_natural_sort(spark, sf_dir):
+    """Address tokens in natural (digits-as-numbers) order."""
+    p = V.pairs(spark, sf_dir).select("idx", "Address1")
+    return p.select("idx", T.simple_sort("Address1").alias("sorted_address"))
+
+
+# ---------------------------------------------------------------- F1 -------
+
+from toposim.functions.termsplit import special_terms  # noqa: E402
+
+_SPECIAL = ["economy", "small", "ring", "red", "ymonoce", "llams"]
+
+
+@register("special_terms", V.with_views(f"""
+, t AS (SELECT idx, lower(Name2) AS s FROM pairs),
+sp AS (SELECT idx, s, list_sort(list_filter(list_distinct(list_filter(regexp_split_to_array(trim(s), '\\s+'),
+          lambda x: x <> '')), lambda x: list_contains({Q.str_list(_SPECIAL)}, x))) AS spec FROM t),
+pat AS (SELECT idx, s, spec,
+          array_to_string(list_transform(list_sort(list_transform(spec, lambda x: {{'n': -length(x), 'x': x}})),
+                          lambda e: e.x), '|') AS pattern FROM sp)
+SELECT idx, array_to_string(spec, '|') AS special,
+       CASE WHEN len(spec) > 0 THEN regexp_replace(s, pattern, ' ', 'g') ELSE s END AS remainder
+FROM pat""", "pairs"))
+def q_special_terms(spark, sf_dir):
+    """frequent ('special') terms of a name and the name with them cut
+    out (unanchored, longest first)."""
+    p = V.pairs(spark, sf_dir).select("idx", F.lower("Name2").alias("s"))
+    spec, cut = special_terms(F.col("s"), _SPECIAL)
+    return p.select("idx", F.array_join(spec, "|").alias("special"), cut.alias("remainder"))
