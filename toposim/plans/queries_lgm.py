@@ -6,23 +6,9 @@ from pyspark.sql import functions as F
 
 from toposim.functions.registry import in_group
 from toposim.functions.termsplit import align_pairs, lgm_scores
-from toposim.operators.terms import frequent_set, term_counts
 from toposim.plans import views as V
 from toposim.plans.catalog import register, rnd
-
-# Frequent-term list size used with the fixture: its names draw on a few
-# dozen words, so the default 400 would make every token "special".
-FIXTURE_FREQ_K = 10
-
-
-def fixture_frequent_terms(spark, sf_dir, k: int = FIXTURE_FREQ_K) -> list[str]:
-    """Frequent terms mined from the pair names (J1 -> A3).  The set holds
-    at most 2k strings, so it is brought to the driver as a literal."""
-    p = V.pairs(spark, sf_dir).select("Name1", "Name2")
-    terms = sorted(r.term for r in frequent_set(term_counts(p, ["Name1", "Name2"]), k).collect())
-    assert len(terms) <= 2 * k
-    return terms
-
+from toposim.plans.views import fixture_frequent_terms
 
 @register("lgm_sim")
 def q_lgm_sim(spark, sf_dir):

@@ -9,7 +9,7 @@ from toposim.plans import views as V
 from toposim.plans.catalog import register, rnd
 from toposim.plans.features import build_features, feature_names
 from toposim.plans.models import evaluate, fit, importances, tune
-from toposim.plans.queries_lgm import fixture_frequent_terms
+from toposim.plans.views import fixture_frequent_terms
 
 
 _FEATURES: dict = {}

@@ -179,3 +179,19 @@ SELECT p_partkey AS geonameid, p_name || ' ' || lower(p_type) AS name, p_name AS
          || substr(p_name, 1, 2) || ',' || ' ' || lower(p_type) || ' ' || p_name AS alternate_names,
        'C' || CAST(p_size % 25 AS VARCHAR) AS country_code
 FROM part"""
+
+
+# Frequent-term list size used with the fixture: its names draw on a few
+# dozen words, so the default 400 would make every token "special".
+FIXTURE_FREQ_K = 10
+
+
+def fixture_frequent_terms(spark, sf_dir, k: int = FIXTURE_FREQ_K) -> list[str]:
+    """Frequent terms mined from the pair names (J1 -> A3).  The set holds
+    at most 2k strings, so it is brought to the driver as a literal."""
+    from toposim.operators.terms import frequent_set, term_counts
+
+    p = pairs(spark, sf_dir).select("Name1", "Name2")
+    terms = sorted(r.term for r in frequent_set(term_counts(p, ["Name1", "Name2"]), k).collect())
+    assert len(terms) <= 2 * k
+    return terms
