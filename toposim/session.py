@@ -7,13 +7,16 @@ fill what is unset.  The settings that matter at scale:
   keys in pair / token tables are split at run time.
 * Arrow on, so the few pandas UDF kernels move column batches.
 * ``spark.checkpoint.dir`` is read from the session; a private folder
-  under /tmp is set only when nothing is configured (local tests).
+  under /tmp is set only when nothing is configured and the master is
+  local (one machine).  On a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,12 +49,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a fresh folder under /tmp is created and registered.
+    Reads ``spark.checkpoint.dir``; only when it is unset and the master
+    is local a fresh folder under /tmp is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="toposim-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -75,3 +80,24 @@ def materialize(df, label: str = "stage"):
     path = f"{base}/toposim-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Workers unpickle functions by module name, so they need the package
+    wherever the driver was started; ``addPyFile`` hands them a zip.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_toposim_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="toposim-pkg-"), "toposim_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._toposim_shipped = True
