@@ -4,11 +4,13 @@ All new pre-tokens of a slice form one linked list of byte tokens, with
 no link across their borders.  The queue has a bucket per merge rank
 holding the list positions whose pair has that rank; a three-level bitmap
 of 64-way words over the ranks finds the lowest filled bucket by
-find-first-set.  A popped position whose pair has changed meanwhile is
-stale and skipped.  Each push and pop is O(1) in the rank count and
-O(log bucket) in ties, so one very long pre-token costs no more per byte
-than many short ones.  The leftmost of equal ranks goes first, and a
-pre-token that is itself in the vocabulary is one id, as tiktoken does.
+find-first-set.  A bucket is drained at once: positions whose pair has
+changed meanwhile are stale and skipped, the leftmost of each pre-token
+is merged (in numpy, or one by one where they are few), and the others go
+back, since a merge may have made a pair of lower rank that goes first.
+A push or pop costs the same at any rank and list length, so one very long
+pre-token costs no more per byte than many short ones.  A pre-token that
+is itself in the vocabulary is one id, as in tiktoken.
 
 Defined cases: a null or empty text has no ids and decodes to nothing;
 repeated rows are encoded each; an empty table gives no rows; other
@@ -18,7 +20,6 @@ columns are kept.  A file path must be readable on every executor.
 from __future__ import annotations
 
 import base64
-from heapq import heappop, heappush
 from typing import Iterator
 
 import numpy as np
@@ -31,26 +32,27 @@ from toposim.llm.cuts import PieceTable
 
 
 class RankQueue:
-    """Buckets of positions by rank, lowest rank first, then lowest position."""
+    """Buckets of positions by rank; ``pop`` empties the lowest."""
 
     def __init__(self, ranks: int):
         self.low = [0] * (ranks // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list] = {}
 
-    def push(self, rank: int, pos: int) -> None:
+    def push(self, rank: int, positions) -> None:
+        """Adds a position or an array of positions."""
         b = self.buckets.get(rank)
-        if b:
-            heappush(b, pos)
+        if b is not None:
+            b.append(positions)
             return
-        self.buckets[rank] = [pos]
+        self.buckets[rank] = [positions]
         i, j = rank >> 6, rank >> 12
         self.low[i] |= 1 << (rank & 63)
         self.mid[j] |= 1 << (i & 63)
         self.top |= 1 << j
 
-    def pop(self) -> tuple[int, int] | None:
+    def pop(self) -> tuple[int, list] | None:
         top = self.top
         if not top:
             return None
@@ -59,19 +61,20 @@ class RankQueue:
         i = j << 6 | (w & -w).bit_length() - 1
         w = self.low[i]
         rank = i << 6 | (w & -w).bit_length() - 1
-        b = self.buckets[rank]
-        pos = heappop(b)
-        if not b:
-            self.low[i] &= w - 1
-            if not self.low[i]:
-                self.mid[j] &= ~(1 << (i & 63))
-                if not self.mid[j]:
-                    self.top &= ~(1 << j)
-        return rank, pos
+        w &= w - 1
+        self.low[i] = w
+        if not w:
+            self.mid[j] &= ~(1 << (i & 63))
+            if not self.mid[j]:
+                self.top &= ~(1 << j)
+        return rank, self.buckets.pop(rank)
 
 
 class Vocabulary:
-    """Ranks of byte strings, and of pairs of ids (found once, then kept)."""
+    """Ranks of byte strings, and of all pairs of ids that may merge."""
+
+    #: Up to so many positions a bucket is drained one by one.
+    FEW = 6
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -79,85 +82,136 @@ class Vocabulary:
         self.bytes: list[bytes] = [b""] * self.size
         for b, r in ranks.items():
             self.bytes[r] = b
-        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.pairs: dict[int, int] = {}
+        for b, r in ranks.items():
+            for k in range(1, len(b)):
+                x, y = ranks.get(b[:k]), ranks.get(b[k:])
+                if x is not None and y is not None:
+                    self.pairs[x * self.size + y] = r
+        keys = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], np.fromiter(self.pairs.values(), np.int32, len(keys))[by]
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def pair(self, key: int) -> int:
-        """Rank of the pair ``left * size + right``, or -1."""
-        left, right = divmod(key, self.size)
-        r = self.pairs[key] = self.ranks.get(self.bytes[left] + self.bytes[right], -1)
-        return r
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, -1 where they don't merge."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token."""
-        size, pairs, pair = self.size, self.pairs, self.pair
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian unsigned 32-bit bytes."""
         whole = [self.ranks.get(w) for w in words]
-        ids: list[int] = []
-        nxt: list[int] = []
-        starts = []
-        single = self.single
-        for w, known in zip(words, whole):
-            starts.append(len(ids))
-            if known is None:
-                n = len(ids)
-                ids.extend([single[c] for c in w])
-                nxt.extend(range(n + 1, n + len(w)))
-                nxt.append(-1)
-        prv = [-1] * (len(ids) + 1)
-        for a, b in enumerate(nxt):
-            prv[b] = a  # the spare last cell takes the ends
-        queue = RankQueue(size)
-        push, pop = queue.push, queue.pop
-        for a, b in enumerate(nxt):
-            if b >= 0:
-                key = ids[a] * size + ids[b]
-                r = pairs.get(key)
-                if r is None:
-                    r = pair(key)
-                if r >= 0:
-                    push(r, a)
-        while (got := pop()) is not None:
-            r, a = got
-            b = nxt[a]
-            if b < 0 or ids[a] < 0 or pairs[ids[a] * size + ids[b]] != r:
-                continue  # stale
-            ids[a], ids[b] = r, -1
-            after = nxt[a] = nxt[b]
-            nxt[b] = -1
-            if after >= 0:
-                prv[after] = a
-                key = r * size + ids[after]
-                x = pairs.get(key)
-                if x is None:
-                    x = pair(key)
-                if x >= 0:
-                    push(x, a)
-            before = prv[a]
-            if before >= 0:
-                key = ids[before] * size + r
-                x = pairs.get(key)
-                if x is None:
-                    x = pair(key)
-                if x >= 0:
-                    push(x, before)
-        out = []
-        for w, known, at in zip(words, whole, starts):
-            if known is not None:
-                out.append([known])
+        open_words = [w for w, r in zip(words, whole) if r is None]
+        merged = iter(self._merge(open_words)) if open_words else iter(())
+        return [next(merged) if r is None else r.to_bytes(4, "little") for r in whole]
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
+        nxt[ends - 1] = -1
+        prv = np.arange(-1, n - 1, dtype=np.int32)
+        prv[ends - sizes] = -1
+        rank = np.full(n, -1, np.int32)  # of the pair that starts here, now
+        inner = np.flatnonzero(nxt >= 0)
+        rank[inner] = self.of_pairs(ids[inner], ids[inner + 1])
+        queue = RankQueue(self.size)
+        push = queue.push
+
+        def push_all(pos: np.ndarray) -> None:
+            r = rank[pos]
+            pos, r = pos[r >= 0], r[r >= 0]
+            if not len(pos):
+                return
+            by = np.argsort(r, kind="stable")
+            pos, r = pos[by], r[by]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for k, a, b in zip(r[np.concatenate(([0], cuts))].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(r)]):
+                push(k, pos[a:b])
+
+        push_all(inner)
+        # plain views for the one-by-one drain
+        v_ids, v_nxt, v_prv, v_rank, v_word = map(memoryview, (ids, nxt, prv, rank, word))
+        get, size, few = self.pairs.get, self.size, self.FEW
+        while (got := queue.pop()) is not None:
+            r, chunks = got
+            if len(chunks) <= few and all(type(c) is int or len(c) <= few for c in chunks):
+                flat = [c for x in chunks for c in ((x,) if type(x) is int else x.tolist())]
             else:
-                out.append([t for t in ids[at:at + len(w)] if t >= 0])
-        return out
+                flat = None
+            if flat is not None and len(flat) <= few:
+                if len(flat) > 1:
+                    flat = sorted(set(flat))
+                seen = -1
+                for a in flat:
+                    if v_rank[a] != r:
+                        continue  # stale
+                    if v_word[a] == seen:
+                        push(r, a)
+                        continue
+                    seen = v_word[a]
+                    b = v_nxt[a]
+                    c = v_nxt[b]
+                    v_ids[a] = r
+                    v_ids[b] = v_rank[b] = -1
+                    v_nxt[a] = c
+                    if c >= 0:
+                        v_prv[c] = a
+                        v_rank[a] = x = get(r * size + v_ids[c], -1)
+                        if x >= 0:
+                            push(x, a)
+                    else:
+                        v_rank[a] = -1
+                    p = v_prv[a]
+                    if p >= 0:
+                        v_rank[p] = x = get(v_ids[p] * size + r, -1)
+                        if x >= 0:
+                            push(x, p)
+                continue
+            pos = np.unique(np.concatenate([np.atleast_1d(np.asarray(c, np.int32)) for c in chunks])) if len(chunks) > 1 else chunks[0]
+            pos = pos[rank[pos] == r]  # the others are stale
+            if not len(pos):
+                continue
+            w = word[pos]
+            first = np.concatenate(([True], w[1:] != w[:-1]))
+            if not first.all():
+                push(r, pos[~first])
+                pos = pos[first]
+            b = nxt[pos]
+            c = nxt[b]
+            ids[pos] = r
+            ids[b] = -1
+            rank[b] = -1
+            nxt[pos] = c
+            on = c >= 0
+            rank[pos] = -1
+            left, right = pos[on], c[on]
+            prv[right] = left
+            p = prv[pos]
+            some = p >= 0
+            before, here = p[some], pos[some]
+            rank[left] = self.of_pairs(ids[left], ids[right])
+            rank[before] = self.of_pairs(ids[before], ids[here])
+            push_all(np.concatenate((left, before)))
+        alive = ids >= 0
+        flat = ids[alive].astype("<u4").tobytes()
+        cut = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        return [flat[a:b] for a, b in zip([0, *cut], cut)]
 
 
 class Encoder:
     """Texts to id bytes, with tables of pre-tokens and of pieces."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
         import regex
 
         self.vocabulary = Vocabulary.load(path)
@@ -171,8 +225,7 @@ class Encoder:
             self.words.clear()
         split = [self.find(p) for p in pieces]
         new = list(set().union(*split).difference(self.words))
-        for w, ids in zip(new, self.vocabulary.encode([w.encode() for w in new])):
-            self.words[w] = np.asarray(ids, dtype="<u4").tobytes()
+        self.words.update(zip(new, self.vocabulary.encode([w.encode() for w in new])))
         get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -193,6 +246,10 @@ def _kept(make, *key):
     return _KEPT[(make, *key)]
 
 
+def decoded(ids: bytes, vocabulary: Vocabulary) -> bytes:
+    return b"".join(map(vocabulary.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``: the ids as little-endian unsigned 32-bit integers (binary)."""
 
@@ -210,16 +267,30 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     @F.pandas_udf("binary")
     def content(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            of = _kept(Vocabulary.load, path).bytes.__getitem__
-            yield pd.Series([b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())) for x in s], dtype=object)
+            vocabulary = _kept(Vocabulary.load, path)
+            yield pd.Series([decoded(x or b"", vocabulary) for x in s], dtype=object)
 
     return encoded.withColumn(out, content(F.col(f"`{ids}`")))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``ids`` and ``decoded``, encoded and decoded in one worker."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _kept(Encoder, path, pattern)
+        for s in batches:
+            ids = encoder.encode(texts_of(s))
+            yield pd.DataFrame({"ids": ids, "decoded": [decoded(x, encoder.vocabulary) for x in ids]})
+
+    d = docs.withColumn("__both", both(F.col(f"`{text}`")))
+    return d.withColumn("ids", F.col("__both.ids")).withColumn("decoded", F.col("__both.decoded")).drop("__both")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    d = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, P.PATTERN), path)
+    d = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, P.PATTERN)
     return d.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                     F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -22,7 +22,7 @@ class PieceTable:
     emptied when it holds ``limit`` entries; that only costs time.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self.table: dict[str, bytes] = {}
 
