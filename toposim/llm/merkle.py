@@ -14,9 +14,11 @@ equal sections and paragraphs are matched whole, and only differing
 branches are opened, which yields the likeness (characters in matched
 nodes, both sides, over all characters) and the ranges that differ.
 
-``with_next`` pairs each row with its successor in descending doc_id:
-texts move once, by range of doc_id; each task streams its sorted rows
-and hands on only its first and last row, which meet in a second step.
+``fingerprints`` pairs each row with its successor in descending doc_id.
+Texts move once, to buckets cut at quantiles of doc_id; each bucket also
+gets a copy of the next one's first row, and tasks stream sorted buckets.
+Only the quantiles and each bucket's highest doc_id, one number per
+bucket, pass through the driver.
 
 Defined cases: a null text is empty; an empty text has one empty leaf
 and likeness 1 to another empty text; equal doc_ids follow each other
@@ -31,12 +33,12 @@ import re
 from collections import Counter
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from toposim.llm.common import materialize, table, texts_of
+from toposim.llm.common import table, texts_of
 
 RUN = 6
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
@@ -45,30 +47,41 @@ _SENTENCES = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 _WORDS, LONG = re.compile(r"(?:\S+\s*){1,8}|\s+"), 80
 
 
+#: Leaves are named once per text run; the table is emptied at this size.
+_MEMO = 50_000
+_named: dict[str, tuple[bytes, str]] = {}
+
+
+def _leaf(s: str) -> tuple[bytes, str]:
+    got = _named.get(s)
+    if got is None:
+        if len(_named) > _MEMO:
+            _named.clear()
+        d = hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
+        got = _named[s] = (d, f"{d[:5].hex()}{len(s)}")
+    return got
+
+
 def _leaves(line: str) -> list[str]:
     found = _SENTENCES.findall(line) or [line]
-    return [w for s in found for w in (_WORDS.findall(s) if len(s) > LONG else [s])]
+    return [w for s in found for w in (_WORDS.findall(s) if len(s) > LONG else (s,))]
 
 
 def tree(text: str) -> tuple[str, list[list[list[str]]]]:
     """(root, sections of paragraphs of leaf names)."""
     sections: list[list[list[str]]] = [[]]
-    root, section = hashlib.sha256(), hashlib.sha256()
+    root, section = hashlib.sha256(), []
     for line in _LINES.findall(text) or [""]:
-        paragraph, leaves = hashlib.sha256(), []
-        for s in _leaves(line):
-            d = hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
-            paragraph.update(d)
-            leaves.append(f"{d.hex()[:10]}{len(s)}")
-        sections[-1].append(leaves)
-        d = paragraph.digest()
-        section.update(d)
+        leaves = [_leaf(s) for s in _leaves(line)]
+        d = hashlib.sha256(b"".join([x for x, _ in leaves])).digest()
+        sections[-1].append([name for _, name in leaves])
+        section.append(d)
         if d[0] % RUN == 0:
-            root.update(section.digest())
-            section = hashlib.sha256()
+            root.update(hashlib.sha256(b"".join(section)).digest())
+            section = []
             sections.append([])
     if sections[-1]:
-        root.update(section.digest())
+        root.update(hashlib.sha256(b"".join(section)).digest())
     else:
         sections.pop()
     return root.hexdigest(), sections
@@ -121,8 +134,21 @@ def compare(a: str, b: str) -> tuple[float, list[tuple[int, int]], list[tuple[in
     return (1.0 - lost / total if total else 1.0), own[0], own[1]
 
 
-def likeness(a: str, b: str) -> float:
-    return compare(a, b)[0]
+def likeness(a: str, b: str, chars_a: int | None = None, chars_b: int | None = None) -> float:
+    """The likeness of ``compare``, without the ranges."""
+    (root_a, body_a), (root_b, body_b) = a.split(":", 1), b.split(":", 1)
+    if root_a == root_b:
+        return 1.0
+    total = (_weight(body_a) if chars_a is None else chars_a) + (_weight(body_b) if chars_b is None else chars_b)
+    left, right, same = [body_a], [body_b], 0
+    for sep in "/;,":
+        left, right = Counter(c for n in left for c in n.split(sep)), Counter(c for n in right for c in n.split(sep))
+        common = left & right
+        if common:
+            same += 2 * sum(_weight(n) * k for n, k in common.items())
+            left, right = left - common, right - common
+        left, right = left.elements(), right.elements()
+    return same / total if total else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -138,63 +164,52 @@ _FIELDS = [x.split()[0] for x in _OUT.split(", ")]
 def _row(doc_id, text: str, fp: str, following: str, next_fp: str) -> tuple:
     new = edited(text, following)
     new_fp = fingerprint(new)
-    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fp, new_fp, likeness(fp, new_fp), likeness(fp, next_fp))
+    n = len(text)
+    return (doc_id, n, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fp, new_fp,
+            likeness(fp, new_fp, n, len(new)), likeness(fp, next_fp, n, len(following)))
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one sorted partition; its first and last text are handed on
-    in the last row (part, first_text, last_text), which has the last doc_id."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    first = last = None
-    cols = [*_FIELDS, "part", "first_text", "last_text"]
+    """Rows sorted by (bucket, kind, place): a bucket's rows (0), then the row that follows (1)."""
+    bucket = last = None
     for pdf in batches:
         rows = []
-        for doc_id, text in zip(pdf["doc_id"].tolist(), texts_of(pdf["text"])):
-            doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
-            cur = (doc_id, text, fingerprint(text))
-            if last is None:
-                first = cur
-            else:
-                rows.append((*_row(*last, cur[1], cur[2]), None, None, None))
-            last = cur
-        yield _frame(rows, cols)
-    if last is not None:
-        yield _frame([(last[0], *[None] * 6, part, first[1], last[1])], cols)
-
-
-def _frame(rows: list[tuple], cols: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=cols)
-    for c in ("doc_id", "n_chars", "part"):
-        if c in out:
-            out[c] = out[c].astype("Int64")
-    for c in ("near_edited", "near_next"):
-        out[c] = out[c].astype("Float64")
-    return out
-
-
-def _borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield _frame([_row(None if pd.isna(i) else int(i), t, fingerprint(t), n, fingerprint(n))
-                      for i, t, n in zip(pdf["doc_id"], texts_of(pdf["last_text"]), texts_of(pdf["next_text"]))], _FIELDS)
-
-
-def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+        for b, kind, doc_id, text in zip(pdf["bucket"].tolist(), pdf["kind"].tolist(), pdf["doc_id"].astype(object), texts_of(pdf["text"])):
+            if b != bucket:
+                bucket, last = b, None
+            cur = (None if pd.isna(doc_id) else int(doc_id), text, fingerprint(text))
+            if last is not None:
+                rows.append(_row(*last, cur[1], cur[2]))
+            last = cur if kind == 0 else None
+        out = pd.DataFrame(rows, columns=_FIELDS)
+        out["doc_id"] = out["doc_id"].astype("Int64")
+        yield out
+
+
+def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """A fingerprint per row of ``docs`` (doc_id, text), its edited text's, and their likeness."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    by = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    d = d.repartitionByRange(n, F.desc_nulls_last("doc_id")).sortWithinPartitions(*by)
-    done = materialize(d.mapInPandas(_stream, _OUT + ", part int, first_text string, last_text string"), "merkle")
-    # one row per partition: which one follows (numbers only), then its first text
-    ends = done.where("part is not null").select("doc_id", "part", "first_text", "last_text")
-    parts = ends.select("part")
-    follow = parts.select("part", F.lead("part").over(W.orderBy("part")).alias("then"), F.min("part").over(W.partitionBy()).alias("start"))
-    follow = follow.select("part", F.coalesce("then", "start").alias("then"))
-    heads = ends.select(F.col("part").alias("then"), F.col("first_text").alias("next_text"))
-    last = ends.select("doc_id", "part", "last_text").join(follow, "part").join(heads, "then").select("doc_id", "last_text", "next_text")
-    return done.where("part is null").select(*_FIELDS).unionByName(last.mapInPandas(_borders, _OUT))
+    n = max(2, buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a null doc_id is ordered as the least number
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                    F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("place"))
+    cuts = d.select(F.percentile_approx("place", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(100 * n))).first()[0] or []
+    bounds = np.unique(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, place.to_numpy(np.int64), "right"), dtype="int32")
+
+    dealt = d.withColumn("bucket", of("place"))
+    tops = {r["bucket"]: r["top"] for r in dealt.groupBy("bucket").agg(F.max("place").alias("top")).collect()}
+    order = sorted(tops, reverse=True)
+    # the first row of each bucket (highest place, then text) goes to the one before it in this order
+    before = spark.createDataFrame([(tops[b], a) for a, b in zip(order, [*order[1:], *order[:1]])], "place long, bucket int")
+    firsts = d.join(F.broadcast(before), "place").groupBy("bucket", "place").agg(F.max(F.struct("text", "doc_id")).alias("r"))
+    firsts = firsts.select("bucket", F.lit(1).alias("kind"), "place", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"))
+    rows = dealt.select("bucket", F.lit(0).alias("kind"), "place", "doc_id", "text").unionByName(firsts)
+    rows = rows.repartition(max(1, n // 2), "bucket").sortWithinPartitions("bucket", "kind", F.desc("place"), F.desc("text"))
+    return rows.mapInPandas(_stream, _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
