@@ -172,9 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     ids = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     ids = materialize(ids.select(F.col("doc_id").alias("__id"), "toxic"), "train-ids")
-    # the bound on ids is train_docs rows
-    train = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("text", "toxic")
-    train = materialize(train.limit(2 * train_docs), "train")
+    # at most train_docs ids are broadcast; rows that share an id count once
+    train = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    train = materialize(train.groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("r")).select("r.text", "r.toxic"), "train")
     totals = train.groupBy("toxic").count().collect()
     if {r["toxic"] for r in totals} != {0, 1}:
         return Model()
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
                 rows.append((n, toxic, [v for s in segs for v in s]))
             yield pd.DataFrame(rows, columns=["n", "toxic", "segs"])
 
-    seen = train.mapInPandas(scan, "n int, toxic int, segs array<double>").toPandas()  # at most 2 * TRAIN_DOCS short rows
+    seen = train.mapInPandas(scan, "n int, toxic int, segs array<double>").toPandas()  # at most TRAIN_DOCS short rows
     seen["segs"] = [list(zip(s[0::3], s[1::3], s[2::3])) for s in seen["segs"]]
     clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
     # mean of the Gumbel law: lambda S - ln(K n) has mean 0.5772
