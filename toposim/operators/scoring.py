@@ -18,7 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toposim.functions.grams import gram_columns, native_from_columns
-from toposim.functions.registry import NATIVE, measure
+from toposim.functions.kernels import MEASURES as KERNELS
+from toposim.functions.kernels import kernels
+from toposim.functions.registry import NATIVE, base_name, measure
+
+
+def _is_kernel(m: str) -> bool:
+    return base_name(m) in KERNELS
+
+
+def _kernel_names(ms: Sequence[str]) -> dict[int, tuple[str, ...]]:
+    """Character kernels by direction (0: as is, 1: reversed)."""
+    return {side: tuple(base_name(m) for m in ms if _is_kernel(m) and (m != base_name(m)) == bool(side)) for side in (0, 1)}
 
 
 def score_many(df: DataFrame, jobs: Sequence[tuple[str, str, Sequence[str], str]]) -> DataFrame:
@@ -35,10 +46,22 @@ def score_many(df: DataFrame, jobs: Sequence[tuple[str, str, Sequence[str], str]
             helpers += gram_columns(F.col(f"_s1_{n}"), f"1_{n}") + gram_columns(F.col(f"_s2_{n}"), f"2_{n}")
     if helpers:
         st = st.select("*", *helpers)
+    # all character kernels of a string pair in one call; reversed ones in another
+    shared = []
+    for n, (_, _, ms, _) in enumerate(jobs):
+        x, y = F.col(f"_s1_{n}"), F.col(f"_s2_{n}")
+        for side, names in _kernel_names(ms).items():
+            if names:
+                shared.append(kernels(names, *((F.reverse(x), F.reverse(y)) if side else (x, y))).alias(f"_k{side}_{n}"))
+    if shared:
+        st = st.select("*", *shared)
     out = []
     for n, (_, _, ms, prefix) in enumerate(jobs):
         x, y = F.col(f"_s1_{n}"), F.col(f"_s2_{n}")
         for m in ms:
+            if _is_kernel(m):
+                out.append(F.col(f"_k{int(m != base_name(m))}_{n}.{base_name(m)}").alias(prefix + m))
+                continue
             e = native_from_columns(m, x, y, f"1_{n}", f"2_{n}") if m in NATIVE else measure(m)(x, y)
             out.append(e.alias(prefix + m))
     return st.select(*cols, *out)
