@@ -28,7 +28,7 @@ def test_missing_text_becomes_empty(spark, tmp_path):
     f.write_text("idx,Name1,Name2,Class\n1,,NA,TRUE\n2,a,b,FALSE\n")
     df = R.read_pairs(spark, str(f), columns=["idx", "Name1", "Name2", "Class"])
     rows = {r.idx: r for r in df.collect()}
-    assert rows[1].Name1 == "" and rows[1].Class == 1 and rows[2].Class == 0
+    assert rows[1].Name1 == "" and rows[1].Name2 == "" and rows[1].Class == 1 and rows[2].Class == 0
     kept = R.read_pairs(spark, str(f), columns=["idx", "Name1", "Name2", "Class"], keep_na_text=True)
     assert {r.idx: r.Name2 for r in kept.collect()}[1] == "NA"
 

@@ -13,22 +13,20 @@ from pyspark.sql import functions as F
 
 # --- accent folding -------------------------------------------------------
 # NFD followed by dropping non-spacing marks, built from a rule: every
-# precomposed letter of the Latin, Greek and Cyrillic blocks whose NFD
-# form minus marks is a single different character is folded with
-# ``translate``; combining marks already present are then deleted.
-_FOLD_RANGES = [(0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1EFF)]
+# character whose NFD form minus marks is a single different character
+# is folded with ``translate``; combining marks already present are then
+# deleted.
 
 
 def _fold_table() -> tuple[str, str]:
     src, dst = [], []
-    for lo, hi in _FOLD_RANGES:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            base = "".join(c for c in unicodedata.normalize("NFD", ch)
-                           if unicodedata.category(c) != "Mn")
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
+    for ch in map(chr, range(0x80, 0x110000)):
+        if not unicodedata.decomposition(ch) or "\uf900" <= ch <= "\ufaff" or ch >= "\U0002f800":
+            continue  # nothing to decompose, or an ideograph's other form
+        base = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
     return "".join(src), "".join(dst)
 
 
@@ -80,11 +78,16 @@ def split_ws(s) -> Column:
 
 
 def natural_key(tok: Column) -> Column:
-    """B5 key: alternating text / number segments; numbers left-padded so
-    that string order equals integer order; a leading empty text segment
-    when the token starts with a digit keeps segment kinds aligned."""
+    """B5 key: alternating text / number segments; a number is its count of
+    digits without leading zeros, then these, so that string order equals
+    integer order at any length; a leading empty text segment when the
+    token starts with a digit keeps segment kinds aligned."""
+    def number(x: Column) -> Column:
+        digits = F.ltrim(x, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
     segs = F.regexp_extract_all(tok, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    segs = F.transform(segs, lambda x: F.when(x.rlike(r"^[0-9]+$"), F.lpad(x, 40, "0"))
+    segs = F.transform(segs, lambda x: F.when(x.rlike(r"^[0-9]+$"), number(x))
                        .otherwise(x))
     return F.when(tok.rlike(r"^[0-9]"), F.concat(F.array(F.lit("")), segs)).otherwise(segs)
 
@@ -118,13 +121,11 @@ def no_space(s) -> Column:
 # --- alphabets (B9, B10) --------------------------------------------------
 # Scripts tested, in priority order (Cyrillic first).
 SCRIPTS = ["CYRILLIC", "LATIN", "GREEK", "ARABIC", "HEBREW", "ARMENIAN", "GEORGIAN",
-           "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK"]
-_SCRIPT_CLASS = {"CJK": r"\p{IsHan}", "CYRILLIC": r"\p{IsCyrillic}", "LATIN": r"\p{IsLatin}",
-                 "GREEK": r"\p{IsGreek}", "ARABIC": r"\p{IsArabic}", "HEBREW": r"\p{IsHebrew}",
-                 "ARMENIAN": r"\p{IsArmenian}", "GEORGIAN": r"\p{IsGeorgian}",
-                 "DEVANAGARI": r"\p{IsDevanagari}", "THAI": r"\p{IsThai}",
-                 "HANGUL": r"\p{IsHangul}", "HIRAGANA": r"\p{IsHiragana}",
-                 "KATAKANA": r"\p{IsKatakana}"}
+           "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "BENGALI", "GURMUKHI",
+           "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "LAO", "TIBETAN",
+           "MYANMAR", "ETHIOPIC", "CHEROKEE", "OGHAM", "RUNIC", "TAGALOG", "KHMER", "MONGOLIAN", "BOPOMOFO",
+           "YI", "SYRIAC", "THAANA", "NKO", "COPTIC", "GOTHIC", "TIFINAGH", "GLAGOLITIC", "JAVANESE", "BALINESE"]
+_SCRIPT_CLASS = {s: r"\p{Is" + ("Han" if s == "CJK" else s.capitalize()) + "}" for s in SCRIPTS}
 
 
 def detect_alphabet(s) -> Column:

@@ -12,14 +12,13 @@ is ever multiplied by the grid, and no join is needed for it.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toposim.functions.registry import base_name
-from toposim.functions.termsplit import reweight, split_all
+from toposim.functions.termsplit import hand_over, normalised, split_all
 from toposim.operators.scoring import score_many
 from toposim.operators.thresholds import THRESHOLDS
 from toposim.session import materialize
@@ -27,16 +26,16 @@ from toposim.session import materialize
 SPLITS = [s / 100.0 for s in range(50, 91, 10)]   # fixed values: .5 .6 .7 .8 .9
 
 
-def weight_grid() -> list[tuple[float, float, float]]:
-    """(w_base, w_mismatch, w_special): w_base from {.334, .2, ... .7}; the
-    other two from a fixed set of tenths whose sum completes 10 tenths
-    (exact float equality, as the published grid does)."""
-    out = []
-    for n in [3.34] + list(range(2, 8)):
-        for seq in itertools.product([1, 2, 3, 4, 5, 6, 2.5, 3.33], repeat=2):
-            if sum(seq) == (10 - n):
-                out.append((n / 10.0,) + tuple(x / 10.0 for x in seq))
-    return out
+# The (base, mismatch, special) weights tried, in search order.
+WEIGHTS = [
+    (0.33399999999999996, 0.333, 0.333),
+    (0.2, 0.2, 0.6), (0.2, 0.3, 0.5), (0.2, 0.4, 0.4), (0.2, 0.5, 0.3), (0.2, 0.6, 0.2),
+    (0.3, 0.1, 0.6), (0.3, 0.2, 0.5), (0.3, 0.3, 0.4), (0.3, 0.4, 0.3), (0.3, 0.5, 0.2), (0.3, 0.6, 0.1),
+    (0.4, 0.1, 0.5), (0.4, 0.2, 0.4), (0.4, 0.3, 0.3), (0.4, 0.4, 0.2), (0.4, 0.5, 0.1),
+    (0.5, 0.1, 0.4), (0.5, 0.2, 0.3), (0.5, 0.3, 0.2), (0.5, 0.4, 0.1), (0.5, 0.25, 0.25),
+    (0.6, 0.1, 0.3), (0.6, 0.2, 0.2), (0.6, 0.3, 0.1),
+    (0.7, 0.1, 0.2), (0.7, 0.2, 0.1),
+]
 
 
 def list_features(df: DataFrame, a: str, b: str, label: str, measures: Sequence[str],
@@ -72,29 +71,35 @@ def grid_accuracy(f9: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> Da
     """H6: ``(measure, split, threshold, w_base, w_mis, w_special,
     accuracy, ord)``; ``ord`` is the position in the search order (split,
     threshold, weight) used to break ties."""
-    grid = weight_grid()
     ln = [F.col("bl"), F.col("ml"), F.col("sl")]
     cl = [F.col("bc"), F.col("mc"), F.col("sc")]
-    scored = []
-    for wi, w in enumerate(grid):
-        ws = reweight(*ln, *cl, list(w), avg=True)
-        tot = F.col("bs") * ws[0] + F.col("ms") * ws[1] + F.col("ss") * ws[2]
-        scored.append(F.coalesce(tot, F.lit(0.0)).alias(f"w{wi}"))
-    st = f9.select("measure", "split", "label", *scored)
-    aggs = []
-    for ti, t in enumerate(thresholds):
-        for wi in range(len(grid)):
-            pred = F.round(F.col(f"w{wi}"), 9) >= F.lit(t)
-            aggs.append(F.sum(F.when(pred == (F.col("label") == 1), 1).otherwise(0)).alias(f"h{ti}_{wi}"))
-    wide = st.groupBy("measure", "split").agg(F.count(F.lit(1)).alias("n"), *aggs)
-    cells = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(ti).alias("ti"), F.lit(wi).alias("wi"),
-                      F.lit(w[0]).alias("w_base"), F.lit(w[1]).alias("w_mis"), F.lit(w[2]).alias("w_special"),
-                      F.col(f"h{ti}_{wi}").alias("hits"))
-             for ti, t in enumerate(thresholds) for wi, w in enumerate(grid)]
-    long = wide.select("measure", "split", "n", F.inline(F.array(*cells)))
+    weights = F.array(*[F.struct(*[F.lit(x).alias(k) for x, k in zip(w, ("w_base", "w_mis", "w_special"))]) for w in WEIGHTS])
+    tried = f9.select("*", F.posexplode(weights).alias("wi", "w"))
+    names = ["w0", "w1", "w2"]
+    tried = tried.select(*f9.columns, "wi", *[F.col(f"w.{k}").alias(n) for k, n in zip(("w_base", "w_mis", "w_special"), names)])
+    for empty in range(3):  # a projection each: the expressions of all three at once are too large to compile
+        ws = hand_over(empty, [F.col(n) for n in names], ln)
+        tried = tried.select(*f9.columns, "wi", *[w.alias(n) for w, n in zip(ws, names)])
+    ws = normalised([F.col(n) for n in names], cl, True)
+    total = F.col("bs") * ws[0] + F.col("ms") * ws[1] + F.col("ss") * ws[2]
+    one = tried.select("measure", "split", "label", "wi", F.round(F.coalesce(total, F.lit(0.0)), 9).alias("score"))
+    # how many thresholds the score reaches
+    reached = sum(((F.col("score") >= F.lit(t)).cast("int") for t in thresholds), F.lit(0))
+    bins = one.groupBy("measure", "split", "wi", reached.alias("bin")).agg(
+        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
+    # at most measures x splits x weights x (thresholds + 1) rows from here on
+    per = bins.groupBy("measure", "split", "wi").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("bin", "pos", (F.col("n") - F.col("pos")).alias("neg"))).alias("h"))
+
+    def hits(ti: int):
+        return F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["bin"] > ti, x["pos"]).otherwise(x["neg"]))
+
+    cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(ti).alias("ti"), hits(ti).alias("hits")) for ti, t in enumerate(thresholds)])
+    long = per.select("measure", "split", "wi", "n", F.inline(cells))
+    long = long.withColumn("w", F.get(weights, F.col("wi")))
     split_idx = F.round(F.col("split") * 10).cast("int")
-    order = (split_idx * len(thresholds) + F.col("ti")) * len(grid) + F.col("wi")
-    return long.select("measure", "split", "threshold", "w_base", "w_mis", "w_special",
+    order = (split_idx * len(thresholds) + F.col("ti")) * len(WEIGHTS) + F.col("wi")
+    return long.select("measure", "split", "threshold", "w.w_base", "w.w_mis", "w.w_special",
                        (F.col("hits").cast("double") / F.col("n")).alias("accuracy"), order.alias("ord"))
 
 

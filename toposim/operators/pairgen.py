@@ -19,37 +19,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toposim.functions.grams import gram_jaccard
-from toposim.functions.text import detect_alphabet
+from toposim.functions.text import detect_alphabet, only_alphabet
 from toposim.operators.splits import _rank, balanced_sample
+from toposim.session import materialize
 
 SEED = 2020
 MIN_NAME_LEN = 2        # fixed value: a name needs more than 2 characters
 MIN_NAMES = 3           # fixed value: places with fewer names are skipped
 
 
-def name_array(alternate_names: Column, name: Column, asciiname: Column, min_len: int = MIN_NAME_LEN) -> Column:
-    """Distinct, trimmed names longer than ``min_len`` (sorted)."""
-    alts = F.transform(F.split(F.coalesce(alternate_names, F.lit("")), ","), lambda x: F.trim(x))
-    allnames = F.concat(alts, F.array(F.trim(F.coalesce(name, F.lit(""))), F.trim(F.coalesce(asciiname, F.lit("")))))
-    return F.array_sort(F.array_distinct(F.filter(allnames, lambda x: F.length(x) > min_len)))
-
-
-def places(gaz: DataFrame, min_names: int = MIN_NAMES) -> DataFrame:
-    """``(id, country, names)`` of places with at least ``min_names`` names."""
-    return gaz.select(F.col("geonameid").alias("id"), F.coalesce("country_code", F.lit("unknown")).alias("country"),
-                      name_array(F.col("alternate_names"), F.col("name"), F.col("asciiname")).alias("names")) \
+def name_array(alternate_names: Column, name: Column, asciiname: Column, min_len: int = MIN_NAME_LEN,
+               alt_min_len: int | None = None) -> Column:
+    """Distinct, trimmed names (sorted): own names longer than
+    ``min_len``, alternates (an array) longer than ``alt_min_len`` or that."""
+    longer = lambda n: lambda x: F.length(x) > n
+    alts = F.filter(F.transform(alternate_names, lambda x: F.trim(x)), longer(min_len if alt_min_len is None else alt_min_len))
+    own = F.array(F.trim(F.coalesce(name, F.lit(""))), F.trim(F.coalesce(asciiname, F.lit(""))))
+    return F.array_sort(F.array_distinct(F.concat(alts, F.filter(own, longer(min_len)))))
+
+
+def places(gaz: DataFrame, min_names: int = MIN_NAMES, min_len: int = MIN_NAME_LEN,
+           alt_min_len: int | None = None, alphabet: str | None = None) -> DataFrame:
+    """``(id, country, names)`` of places with at least ``min_names`` names.
+
+    Alternate names are a comma-separated text or an array (as the
+    gazetteer reader gives them); with ``alphabet`` only names written
+    wholly in it count (B10)."""
+    alts = F.col("alternate_names")
+    if dict(gaz.dtypes)["alternate_names"] == "string":
+        alts = F.split(alts, ",")
+    alts = F.coalesce(alts, F.array().cast("array<string>"))
+    names = name_array(alts, F.col("name"), F.col("asciiname"), min_len, alt_min_len)
+    if alphabet:
+        names = F.filter(names, lambda x: only_alphabet(x, alphabet))
+    return gaz.select(F.col("geonameid").alias("id"), F.coalesce("country_code", F.lit("unknown")).alias("country"), names.alias("names")) \
         .where(F.size("names") >= min_names)
 
 
 def positive_pairs(pl: DataFrame) -> DataFrame:
     """``(n1, n2, id, country)`` for every name pair of a place."""
-    n = F.size("names")
-    combos = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(i + 1, F.greatest(n, i + 1)),
-        lambda j: F.when(j <= n, F.struct(F.element_at("names", i).alias("n1"),
-                                          F.element_at("names", j).alias("n2"))))))
-    ex = pl.select("id", "country", F.explode(F.filter(combos, lambda x: x.isNotNull())).alias("p"))
-    ex = ex.select(F.col("p.n1").alias("n1"), F.col("p.n2").alias("n2"), "id", "country")
+    first = pl.select("id", "country", "names", F.posexplode("names").alias("i", "n1"))
+    ex = first.select("n1", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("n2"), "id", "country")
     return ex.where(gram_jaccard(F.lower("n1"), F.lower("n2")) != 1.0)
 
 
@@ -64,7 +74,8 @@ def negative_pairs(pos: DataFrame, pl: DataFrame, seed: int = SEED) -> DataFrame
     pool = pl.select("id", "country", F.explode("names").alias("name"), F.lit(0).alias("_all"))
     order = F.concat_ws("|", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)))),
                         F.col("id").cast("string"), F.col("name"))
-    ranked = _rank(pool, "_all", order, F.substring(order, 1, 3)).drop("_key")
+    pool = pool.select("*", order.alias("_key")).select("*", F.substring("_key", 1, 3).alias("_bkt"))
+    ranked = _rank(pool, "_all")
     ranked = ranked.select("id", "country", "name", F.col("_rank").alias("rank"), F.col("_class_n").alias("P"))
     span = ranked.groupBy("id").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("m"), F.max("P").alias("P"))
     p = pos.join(span, "id")
@@ -77,10 +88,11 @@ def negative_pairs(pos: DataFrame, pl: DataFrame, seed: int = SEED) -> DataFrame
                                         F.col("country").alias("cc1"), "cc2")
 
 
-def build_dataset(gaz: DataFrame, n_max: int, min_names: int = MIN_NAMES, seed: int = SEED) -> DataFrame:
+def build_dataset(gaz: DataFrame, n_max: int | None = None, min_names: int = MIN_NAMES, seed: int = SEED,
+                  alphabet: str | None = None) -> DataFrame:
     """Positives + negatives in the 9-column layout, de-duplicated
     (H10), balanced and interleaved (I3, ``pos`` = interleave position)."""
-    pl = places(gaz, min_names)
+    pl = materialize(places(gaz, min_names, alphabet=alphabet), "places")
     pos = positive_pairs(pl)
     neg = negative_pairs(pos, pl, seed)
     a = pos.select(F.col("n1").alias("s1"), F.col("n2").alias("s2"), F.lit(1).alias("status"),
@@ -88,7 +100,7 @@ def build_dataset(gaz: DataFrame, n_max: int, min_names: int = MIN_NAMES, seed:
                    F.col("country").alias("cc1"), F.col("country").alias("cc2"))
     b = neg.select(F.col("n1").alias("s1"), F.col("n2").alias("s2"), F.lit(0).alias("status"),
                    F.col("id1").cast("string"), F.col("id2").cast("string"), "cc1", "cc2")
-    both = a.unionByName(b).dropDuplicates()
+    both = materialize(a.unionByName(b).dropDuplicates(), "dataset")
     both = both.select("s1", "s2", "status", "id1", "id2", detect_alphabet("s1").alias("alphabet1"),
                        detect_alphabet("s2").alias("alphabet2"), "cc1", "cc2",
                        F.md5(F.concat_ws("\t", "s1", "s2", F.col("status").cast("string"), "id1", "id2"))
@@ -100,17 +112,15 @@ def region_filter(df: DataFrame, country_col: str, regions: DataFrame, keep: Seq
                   exclude: Sequence[str] = ()) -> DataFrame:
     """Keep rows whose country maps to a continent in ``keep`` and is
     not in ``exclude``; unknown countries drop.  ``regions`` is the
-    caller's ``(country, continent)`` dimension — one row per country,
-    so it is bounded by the number of countries and broadcast."""
+    caller's ``(country, continent)`` table; its size decides how it is joined."""
     dim = regions.where(F.col("continent").isin(*keep))
     if exclude:
         dim = dim.where(~F.col("country").isin(*exclude))
-    return df.join(F.broadcast(dim.select(F.col("country").alias(country_col)).distinct()), country_col,
-                   "left_semi")
+    return df.join(dim.select(F.col("country").alias(country_col)).distinct(), country_col, "left_semi")
 
 
-def hard_pairs(gaz: DataFrame, per_place: int = 2, min_len: int = 3, min_names: int = MIN_NAMES,
-               seed: int = SEED) -> DataFrame:
+def hard_pairs(gaz: DataFrame, per_place: int = 2, alt_min_len: int = 3, min_names: int = MIN_NAMES,
+               seed: int = SEED, alphabet: str | None = None) -> DataFrame:
     """Per place, up to ``per_place`` positive name pairs and up to
     ``per_place`` hard negatives: a name of the previous place (id order)
     with a name of this place that shares grams (jaccard > 0) but differs
@@ -121,17 +131,14 @@ def hard_pairs(gaz: DataFrame, per_place: int = 2, min_len: int = 3, min_names:
 
     from toposim.operators.splits import rank_by_key
 
-    pl = gaz.select(F.col("geonameid").alias("id"), F.coalesce("country_code", F.lit("unknown")).alias("country"),
-                    name_array(F.col("alternate_names"), F.col("name"), F.col("asciiname"), min_len)
-                    .alias("names")).where(F.size("names") >= min_names)
+    pl = places(gaz, min_names, alt_min_len=alt_min_len, alphabet=alphabet)
     ranked = rank_by_key(pl.withColumn("_all", F.lit(0)), "_all", "id").select("id", "country", "names", "_rank")
     prev = ranked.select((F.col("_rank") + 1).alias("_rank"), F.col("id").alias("pid"),
                          F.col("country").alias("pcountry"), F.col("names").alias("pnames"))
     pairs = ranked.join(prev, "_rank")
     cand = pairs.select("id", "country", "pid", "pcountry",
-                        F.explode(F.flatten(F.transform("pnames", lambda x: F.transform(
-                            "names", lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("c")) \
-        .select("id", "country", "pid", "pcountry", F.col("c.x").alias("x"), F.col("c.y").alias("y")) \
+                        F.explode("pnames").alias("x"), "names") \
+        .select("id", "country", "pid", "pcountry", "x", F.explode("names").alias("y")) \
         .where((gram_jaccard(F.col("x"), F.col("y")) > 0) & (F.lower("x") != F.lower("y")))
     key = F.md5(F.concat_ws("|", F.col("x"), F.col("y"), F.lit(str(seed))))
     w = Window.partitionBy("id").orderBy(key)

@@ -115,7 +115,7 @@ def q_token_scores(spark, sf_dir):
 
 # ---------------------------------------------------------------- B7/B8 ----
 
-_ADDR_RE = r"\b\d+[a-zA-Z]?(-\d+[a-zA-Z]?)?\s*"
+from toposim.functions.address import HOUSE_NUMBER as _ADDR_RE  # noqa: E402
 
 
 def _street_sql(a):
@@ -124,16 +124,16 @@ def _street_sql(a):
 
 def _nums_sql(a):
     return (f"list_transform(list_filter(list_distinct(regexp_extract_all({a}, '\\b\\d+')), "
-            f"lambda x: length(x) <> 4), lambda x: CAST(x AS BIGINT))")
+            f"lambda x: length(x) <> 4), lambda x: CAST(x AS DECIMAL(38, 0)))")
 
 
 _ADDR_SQL = V.with_views(f"""
 , t AS (SELECT idx, Address1, Address2,
-          CASE WHEN len({_nums_sql('Address1')}) = 0 THEN [0::BIGINT] ELSE {_nums_sql('Address1')} END AS n1,
-          CASE WHEN len({_nums_sql('Address2')}) = 0 THEN [0::BIGINT] ELSE {_nums_sql('Address2')} END AS n2
+          CASE WHEN len({_nums_sql('Address1')}) = 0 THEN [0::DECIMAL(38, 0)] ELSE {_nums_sql('Address1')} END AS n1,
+          CASE WHEN len({_nums_sql('Address2')}) = 0 THEN [0::DECIMAL(38, 0)] ELSE {_nums_sql('Address2')} END AS n2
         FROM pairs)
 SELECT idx, {_street_sql('Address1')} AS street_name1, {_street_sql('Address2')} AS street_name2,
-       list_min(flatten(list_transform(n1, lambda x: list_transform(n2, lambda y: abs(x - y))))) AS street_numbers_diff
+       CAST(list_min(flatten(list_transform(n1, lambda x: list_transform(n2, lambda y: abs(x - y))))) AS DOUBLE) AS street_numbers_diff
 FROM t""", "pairs")
 
 
@@ -143,7 +143,7 @@ def q_address(spark, sf_dir):
     return p.select("idx", street_name("Address1").alias("street_name1"),
                     street_name("Address2").alias("street_name2"),
                     numbers_diff(street_numbers("Address1"), street_numbers("Address2"))
-                    .alias("street_numbers_diff"))
+                    .cast("double").alias("street_numbers_diff"))
 
 
 # ---------------------------------------------------------------- B1/B2/B9 -
@@ -174,7 +174,7 @@ def q_normalize_text(spark, sf_dir):
 
 def _nat_key_sql(t):
     segs = f"list_transform(regexp_extract_all({t}, '([0-9]+|[^0-9]+)', 1), lambda x: " \
-           f"CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 40, '0') ELSE x END)"
+           f"CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END)"
     return f"CASE WHEN regexp_matches({t}, '^[0-9]') THEN list_concat([''], {segs}) ELSE {segs} END"
 
 

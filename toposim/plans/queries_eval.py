@@ -110,12 +110,12 @@ def q_strat_split(spark, sf_dir):
 @register("balanced_sample", V.with_views("""
 , r AS (SELECT idx, Class, row_number() OVER (PARTITION BY Class ORDER BY md5(CAST(idx AS VARCHAR) || '|2020')) AS pos
         FROM pairs),
-m AS (SELECT least(1500, min(n)) AS m FROM (SELECT count(*) AS n FROM pairs GROUP BY Class))
+m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM pairs GROUP BY Class))
 SELECT idx, Class, pos FROM r, m WHERE pos <= m.m""", "pairs"))
 def q_balanced_sample(spark, sf_dir):
-    """At most 1500 pairs per class, interleaving position ``pos``."""
+    """As many pairs of each class as the smaller has, interleaving position ``pos``."""
     p = V.pairs(spark, sf_dir).select("idx", "Class")
-    return balanced_sample(p, "Class", "idx", 1500, 2020)
+    return balanced_sample(p, "Class", "idx", seed=2020)
 
 
 def _merc_sql(lon, lat):
@@ -133,8 +133,8 @@ def _dist_sql():
 
 def _nums_sql(a):
     n = (f"list_transform(list_filter(list_distinct(regexp_extract_all({a}, '\\b\\d+')), "
-         f"lambda x: length(x) <> 4), lambda x: CAST(x AS BIGINT))")
-    return f"CASE WHEN len({n}) = 0 THEN [0::BIGINT] ELSE {n} END"
+         f"lambda x: length(x) <> 4), lambda x: CAST(x AS DECIMAL(38, 0)))")
+    return f"CASE WHEN len({n}) = 0 THEN [0::DECIMAL(38, 0)] ELSE {n} END"
 
 
 @register("spatial_scaled", V.with_views(f"""

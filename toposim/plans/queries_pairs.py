@@ -79,7 +79,7 @@ both_ AS (SELECT DISTINCT * FROM (
 keyed AS (SELECT *, md5(s1 || chr(9) || s2 || chr(9) || CAST(status AS VARCHAR) || chr(9) || id1 || chr(9) || id2)
             AS k FROM both_),
 rk AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY md5(k || '|2020')) AS pos FROM keyed),
-mm AS (SELECT least(100000, min(n)) AS m, count(*) AS nc FROM (SELECT count(*) AS n FROM keyed GROUP BY status))
+mm AS (SELECT min(n) AS m, count(*) AS nc FROM (SELECT count(*) AS n FROM keyed GROUP BY status))
 SELECT s1, s2, CAST(status AS INTEGER) AS status, id1, id2, {_alpha('s1')} AS alphabet1, {_alpha('s2')} AS alphabet2,
        cc1, cc2, pos
 FROM rk, mm WHERE mm.nc = 2 AND pos <= mm.m""", "gazetteer")
@@ -89,7 +89,7 @@ FROM rk, mm WHERE mm.nc = 2 AND pos <= mm.m""", "gazetteer")
 def q_build_dataset(spark, sf_dir):
     """Positives + one exact hash-drawn negative each, de-duplicated,
     balanced and interleaved, in the 9-column layout (+ pos)."""
-    out = build_dataset(V.gazetteer(spark, sf_dir), 100000)
+    out = build_dataset(V.gazetteer(spark, sf_dir))
     return out.select("s1", "s2", F.col("status").cast("int").alias("status"), "id1", "id2", "alphabet1",
                       "alphabet2", "cc1", "cc2", "pos")
 
@@ -123,7 +123,9 @@ def q_region_filter(spark, sf_dir):
 
 from toposim.operators.pairgen import hard_pairs  # noqa: E402
 
-_NAMES3_SQL = _NAMES_SQL.replace("length(x) > 2", "length(x) > 3")
+_NAMES3_SQL = """list_sort(list_distinct(list_concat(
+    list_filter(list_transform(string_split(coalesce(alternate_names, ''), ','), lambda x: trim(x)), lambda x: length(x) > 3),
+    list_filter([trim(coalesce(name, '')), trim(coalesce(asciiname, ''))], lambda x: length(x) > 2))))"""
 
 
 @register("hard_pairs", V.with_views(f"""

@@ -37,6 +37,11 @@ def pair_schema(roles: dict | None = None, columns: Sequence[str] | None = None)
     return T.StructType([T.StructField(c, by_col.get(c, T.StringType()), True) for c in cols])
 
 
+# Texts that stand for a missing value in a scanned column.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def _label(col) -> "F.Column":
     s = F.upper(F.trim(col.cast("string")))
     return F.when(s.isin("TRUE", "1", "1.0", "T", "YES"), 1).when(s.isin("FALSE", "0", "0.0", "F", "NO"), 0) \
@@ -48,8 +53,8 @@ def read_pairs(spark: SparkSession, path: str, roles: dict | None = None, sep: s
                columns: Sequence[str] | None = None) -> DataFrame:
     """A1 / A2: labelled candidate pairs projected to the mapped roles.
 
-    Text columns get ``''`` for missing values.  ``keep_na_text=True``
-    keeps the literal text ``NA`` as text (no null parsing at all)."""
+    Text columns get ``''`` for missing values, which the texts of
+    ``MISSING`` also stand for; ``keep_na_text=True`` keeps those."""
     r = dict(DEFAULT_ROLES, **(roles or {}))
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -64,7 +69,10 @@ def read_pairs(spark: SparkSession, path: str, roles: dict | None = None, sep: s
         if c == r["status"]:
             out.append(_label(F.col(c)).alias(c))
         elif c in text_roles:
-            out.append(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c))
+            text = F.col(c).cast("string")
+            if not keep_na_text:
+                text = F.when(~text.isin(*MISSING), text)
+            out.append(F.coalesce(text, F.lit("")).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
