@@ -18,7 +18,7 @@ _FEATURES: dict = {}
 def fixture_features(spark, sf_dir, group: str = "lgm"):
     """The feature table is checkpointed inside ``build_features``; the
     learning queries of one session reuse that stored table."""
-    key = (id(spark), sf_dir, group)
+    key = (spark.sparkContext.applicationId, sf_dir, group)
     if key not in _FEATURES:
         _FEATURES[key] = build_features(V.pairs(spark, sf_dir), fixture_frequent_terms(spark, sf_dir), group)
     return _FEATURES[key]
