@@ -11,7 +11,22 @@ from toposim.plans.catalog import register, rnd
 GRAM_JOIN_T = 0.8
 
 
-@register("gram_join")
+_SETS_SQL = """
+WITH ch AS (SELECT doc_id, regexp_extract_all(' ' || coalesce(text, '') || ' ', '(?s).') AS c FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_concat(
+        list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]),
+        list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])))) AS g FROM ch),
+r AS (SELECT min(doc_id) AS id, g, len(g) AS n FROM g GROUP BY g)"""
+
+_JOIN_SQL = f"""{_SETS_SQL},
+x AS (SELECT a.id AS id1, b.id AS id2, a.n + b.n AS s, len(list_intersect(a.g, b.g)) AS k
+      FROM r a JOIN r b ON a.id < b.id AND 10 * b.n >= 8 * a.n AND 10 * a.n >= 8 * b.n)
+SELECT id1, id2, round(CAST(k AS DOUBLE) / (s - k), 6) AS jaccard FROM x WHERE round(CAST(k AS DOUBLE) / (s - k), 9) >= 0.8"""
+
+_COPIES_SQL = f"{_SETS_SQL} SELECT doc_id AS id, r.id AS rep FROM g JOIN r USING (g) WHERE doc_id <> r.id"
+
+
+@register("gram_join", _JOIN_SQL)
 def q_gram_join(spark, sf_dir):
     """Document pairs whose padded-gram Jaccard is >= 0.8 (whole
     texts; representatives of identical gram sets)."""
@@ -20,7 +35,7 @@ def q_gram_join(spark, sf_dir):
     return pairs.select("id1", "id2", rnd(F.col("jaccard")).alias("jaccard"))
 
 
-@register("gram_copies")
+@register("gram_copies", _COPIES_SQL)
 def q_gram_copies(spark, sf_dir):
     """Rows whose gram set equals an earlier row's, with that row."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", "text")
