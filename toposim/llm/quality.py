@@ -177,3 +177,48 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    more = {"symbols": ("n_symbols", "word_chars", 20), "dup_lines": ("n_dup_lines", "n_lines", 4),
+            "repeats": ("n_repeat_words", "n_words", 30), "shouting": ("n_upper", "word_chars", 20)}
+    value = {m: f"CAST(floor({SCALE} * {a} / ({b} + {k})) AS BIGINT)" for m, (a, b, k) in more.items()}
+    unpivot = " UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, {v} AS v FROM c WHERE NOT base_failed" for m, v in value.items())
+    q = lambda x: f"min(low) FILTER (upto >= total * {x})"
+    above = " OR ".join(f"{value[m]} > coalesce(max_{m}, 1e12)" for m in METRICS)
+    cuts = ", ".join(f"max(cut) FILTER (metric = '{m}') + {slack} AS max_{m}" for m, slack in METRICS.items())
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, 'null') AS lk, coalesce('=' || source, 'null') AS sk,
+                  coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS x FROM w, unnest(range(1, len(ws) - 1)) u(i)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS k FROM tri) WHERE k > 1),
+rep AS (SELECT rid, count(DISTINCT i + d) AS n FROM hit, unnest([0, 1, 2]) u(d) GROUP BY rid),
+c0 AS (SELECT w.rid, doc_id, lk, sk, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+              length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+              coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+       FROM w LEFT JOIN rep ON w.rid = rep.rid),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c0),
+b AS (SELECT lk, sk, metric, greatest(length(bin(v)) - 7, 0) AS s, v FROM ({unpivot})),
+k AS (SELECT lk, sk, metric, s * 64 + (v >> s) AS bucket, count(*) AS n FROM b GROUP BY ALL),
+sk AS (SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 64 - 1) * 64) << CAST(bucket // 64 - 1 AS INTEGER) END AS low FROM k),
+g AS (SELECT DISTINCT lk, sk, metric FROM sk),
+pl AS (SELECT lk, metric, bucket, low, sum(n) AS n FROM sk GROUP BY ALL),
+co AS (SELECT metric, bucket, low, sum(n) AS n FROM pl GROUP BY ALL),
+m AS (SELECT lk, sk, metric, bucket, low, CAST(n AS DOUBLE) AS w FROM sk
+      UNION ALL SELECT lk, sk, metric, bucket, low, w FROM g JOIN (SELECT *, {PRIOR} * n / CAST(sum(n) OVER (PARTITION BY lk, metric) AS DOUBLE) AS w FROM pl) USING (lk, metric)
+      UNION ALL SELECT lk, sk, metric, bucket, low, w FROM g JOIN (SELECT *, {PRIOR} * n / CAST(sum(n) OVER (PARTITION BY metric) AS DOUBLE) AS w FROM co) USING (metric)),
+s AS (SELECT lk, sk, metric, bucket, low, sum(CAST(round(w, 6) AS DECIMAL(28, 6))) AS w FROM m GROUP BY ALL),
+r AS (SELECT *, sum(w) OVER (PARTITION BY lk, sk, metric ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lk, sk, metric) AS total FROM s),
+q AS (SELECT lk, sk, metric, {q('0.50')} AS q50, {q('0.90')} AS q90 FROM r GROUP BY ALL),
+l AS (SELECT lk, sk, metric, q50 + {REACH} * (q90 - q50) AS cut FROM q),
+lim AS (SELECT lk, sk, {cuts} FROM l GROUP BY lk, sk)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR {above}) AS kept
+FROM c LEFT JOIN lim USING (lk, sk)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -8,7 +8,7 @@ from toposim.llm import bpe, chat, hosts, html_text, jaccard, merkle, packing, q
 REGISTRY = {
     "op1_chat_prefix_targets": (chat.query, chat.ORACLE_SQL),
     "op2_recurrent_blocks": (html_text.query, None),
-    "op3_adaptive_quality": (quality.query, None),
+    "op3_adaptive_quality": (quality.query, quality.ORACLE_SQL),
     "op4_byte_bpe": (bpe.query, None),
     "op5_merkle_fingerprints": (merkle.query, None),
     "op6_toxic_segments": (toxicity.query, None),
