@@ -223,11 +223,21 @@ class Encoder:
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.words) > self.limit:
             self.words.clear()
-        split = [self.find(p) for p in pieces]
+        split = [self._cut(p) for p in pieces]
         new = list(set().union(*split).difference(self.words))
         self.words.update(zip(new, self.vocabulary.encode([w.encode() for w in new])))
         get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
+
+    def _cut(self, piece: str) -> list[str] | tuple[str, ...]:
+        """Pre-tokens of a piece.  Letters alone (after one space) are one match
+        of the pattern, a stop after them another; the rest is searched."""
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():
+            return (piece,)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return (piece[:-1], word[-1])
+        return self.find(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
