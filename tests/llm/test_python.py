@@ -27,6 +27,20 @@ def test_blocks():
     assert blocks.blocks("") == [] and [b.text for b in blocks.blocks("a < b > c <")] == ["a < b > c <"]
 
 
+@pytest.mark.parametrize("tag", ['<svg-icon name="x"></svg-icon>', "<select-menu>", "<math-renderer>", "<title-bar>", "<template-x>", '<svg class="i"/>', "<math />",
+                                 "<object>", "<canvas id=c>", "<select>", "<svg><style/></svg>", "<svg><svg>x</svg>y</svg>", "<svg/><svg>x</svg>", "<script>a</script x>"])
+def test_blocks_after_embedded_elements(tag):
+    page = f"<p>one</p>{tag}<p>two</p><p>three</p>"
+    assert [b.text for b in blocks.blocks(page)] == ["one", "two", "three"]
+    assert [b.text for b in blocks.blocks(page + "<object>x</object><canvas>x</canvas><select>x</select><svg>x</svg>")] == ["one", "two", "three"]
+
+
+def test_blocks_raw_text_to_the_end():
+    for tag in ("script", "style", "textarea", "title"):
+        assert [b.text for b in blocks.blocks(f"<p>one</p><{tag}>two<p>three</p>")] == ["one"]
+    assert [b.text for b in blocks.blocks("<p>a <object><script>'</object>'</script>x</object>b")] == ["a b"]
+
+
 def test_labeller_on_new_pages():
     r, p, wrong, total = random.Random(4242), html_text.trained(), 0, 0
     for _ in range(150):
