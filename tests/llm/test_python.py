@@ -41,6 +41,15 @@ def test_blocks_raw_text_to_the_end():
     assert [b.text for b in blocks.blocks("<p>a <object><script>'</object>'</script>x</object>b")] == ["a b"]
 
 
+def test_names_of_long_attributes():
+    page = '<div {}class="comments" id="thread"><p>one</p><p>two</p></div>'
+    short, long = (html_text.vectors(blocks.blocks(page.format(x))) for x in ("", "style='" + "color:red;" * 60 + "' "))
+    assert (short == long).all()
+    many = " ".join(f"px-{k}" for k in range(200))
+    path = html_text.vectors(blocks.blocks(f'<div class="{many} sidebar">x</div>'))[0]
+    assert path[zlib.crc32(b"sidebar") % html_text.PATHS] > 0
+
+
 def test_labeller_on_new_pages():
     r, p, wrong, total = random.Random(4242), html_text.trained(), 0, 0
     for _ in range(150):

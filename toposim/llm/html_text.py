@@ -46,13 +46,19 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # --- vectors -------------------------------------------------------------
 
-@functools.lru_cache(maxsize=20_000)
-def _names(tag: str, attrs: str) -> tuple[int, ...]:
+#: Attribute texts below this length are kept between pages.
+_SHORT = 500
+
+
+def _hashed(tag: str, attrs: str) -> tuple[int, ...]:
     """Hashed names of one element."""
     words = ["<" + tag] + [w for m in _NAME.finditer(attrs) for w in _WORD.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()) if len(w) > 1]
     return tuple(zlib.crc32(w.rstrip("s").encode()) % PATHS for w in words)
 
 
+_names = functools.lru_cache(maxsize=20_000)(_hashed)
+
+
 @functools.lru_cache(maxsize=50_000)
 def _word(w: str) -> int:
     return zlib.crc32(w.encode()) % WORDS
@@ -60,10 +66,17 @@ def _word(w: str) -> int:
 
 def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), PATHS + WORDS + FIGURES), np.float32)
+    long: dict[tuple[str, str], tuple[int, ...]] = {}
     for i, b in enumerate(page):
         weight = 1.0
-        for tag, attrs in reversed(b.path):
-            for k in _names(tag, attrs if len(attrs) < 500 else attrs[:0]):
+        for element in reversed(b.path):
+            if len(element[1]) < _SHORT:
+                names = _names(*element)
+            elif element in long:
+                names = long[element]
+            else:
+                names = long[element] = _hashed(*element)
+            for k in names:
                 x[i, k] += weight
             weight *= 0.85
         words = b.text.lower().split()
