@@ -347,3 +347,15 @@ def test_packing(spark, odd, none):
             at += n
         assert at <= 1024
     assert packing.pack(packing.pieces(none, path)).count() == 0
+
+
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    lib, tok = Tokenizer.from_file(path), packing.Tokenizer(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>\n\n<|endoftext|><|endoftext|>c", "<|endoftext|", "<|ENDOFTEXT|>", "x\x85<|endoftext|>", "plain", ""]
+    assert [tok.encode(t).tolist() for t in texts] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in tok.encode(texts[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())) for i, t in enumerate(texts) for ids in [lib.encode(t, add_special_tokens=False).ids + [2]]]
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pieces(docs, path).collect()) == want

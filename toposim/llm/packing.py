@@ -43,10 +43,11 @@ class Tokenizer:
     The file's vocabulary is run by ``tiktoken``, whose merges give the same
     ids (tokens are numbered in the order of the file's merges) in about a
     quarter of the time; a text with white space on which the two libraries'
-    patterns differ goes through ``tokenizers``.
+    patterns differ, or that holds an added token of the file, goes through
+    ``tokenizers``.
     """
 
-    _ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e]")
+    _ODD_SPACE = "[\x1c-\x1f\x85\u180e]"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,16 +56,16 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
         own = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
         sign = {chr(c): c for c in own}  # the signs that stand for bytes in the file
         sign |= {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in own)}
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.slow = re.compile("|".join([self._ODD_SPACE, *map(re.escape, sorted(special))]))
         ranks = {bytes(sign[c] for c in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in special}
         self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self._ODD_SPACE.search(text):
+        if self.slow.search(text):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
 
