@@ -305,6 +305,41 @@ def test_hosts(spark):
     assert hosts.judge(df.where("false")).count() == 0
 
 
+def converged(seeds, links):
+    """Personalised PageRank by the linear equations."""
+    names = sorted({*seeds, *(h for e in links for h in e)})
+    at = {h: i for i, h in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for a, b in links:
+        m[at[b], at[a]] += 1
+    m = m / np.maximum(m.sum(0), 1)
+    x = np.linalg.solve(np.eye(len(names)) - hosts.DAMPING * m, [(1 - hosts.DAMPING) * seeds.get(h, 0) for h in names])
+    return dict(zip(names, x))
+
+
+def test_hosts_at_the_end_of_a_chain(spark):
+    """h30 -> ... -> h1 -> bad.net: each is that many links from the blocked."""
+    chain = ["bad.net"] + [f"h{i}.org" for i in range(1, 31)]
+    rows = [(0, "http://bad.net/es/x", "")] + [(i, f"http://{chain[i]}/", f"<a href='http://{chain[i - 1]}/'>x</a>") for i in range(1, 31)]
+    rows += [(100 + i, f"http://plain{i}.org/", "") for i in range(1000)]
+    rank = converged({"bad.net": 1}, [(a, b) for a, b in zip(chain, chain[1:])])
+    score = {h: x / sum(rank.values()) * len(rows) for h, x in rank.items()}
+    want = {h for h, x in score.items() if x > hosts.TAU}
+    assert want == set(chain)
+    got = hosts.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["host"] for r in got if r["verdict"] == "block"} == want
+
+
+def test_ranks_converge(spark):
+    r = random.Random(5)
+    links = sorted({(f"a{r.randrange(12)}", f"a{r.randrange(12)}") for _ in range(40)} | {(f"a{i}", f"a{(i + 1) % 12}") for i in range(12)})
+    want = converged({"a0": 3, "a5": 1}, links)
+    edges = hosts._shares(spark.createDataFrame(links, "src string, dst string").withColumn("p", F.lit(1.0)))
+    seeds = spark.createDataFrame([("a0", 3.0), ("a5", 1.0)], "host string, seed double")
+    got = {x["host"]: x["rank"] for x in hosts.propagate(seeds, edges, 10, 1e-3).collect()}
+    assert got.keys() == want.keys() and max(abs(got[h] - want[h]) for h in want) / 4 * 10 <= 1e-3
+
+
 # --- packing ------------------------------------------------------------
 
 @settings(max_examples=100, deadline=None)

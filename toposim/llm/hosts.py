@@ -10,7 +10,9 @@ trust.
 
 Links are counted per (host, host) before anything is joined, so a hot
 host is a row, and ranks live in Spark tables written to the shared
-folder between rounds.  Mass that reaches a host without links is not
+folder between rounds.  Rounds go on until the mass still to move can
+change no host's score by more than ``TOLERANCE`` (a round keeps at most
+``DAMPING`` of the moved mass, so they end).  Mass that reaches a host without links is not
 returned; that scales all scores alike and the final shares undo it.
 
 Defined cases: a null url, or one without ``://``, has an empty host
@@ -24,13 +26,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposim.llm.common import lookup_join, materialize, table
+from toposim.llm.common import drop_stage, lookup_join, materialize, table, write_stage
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the contract.  Fixed values.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DAMPING, ROUNDS, BLOCK, TAU = 0.85, 12, 3, 1.0
+DAMPING, BLOCK, TAU = 0.85, 3, 1.0
+#: Of a score, where 1 is an even share.
+TOLERANCE = 1e-6
+#: Rounds of the DuckDB twin, which can't iterate to a tolerance: it says
+#: less than the query where mass moves along more links than that.
+ROUNDS = 12
 LINK = "(?i)href[\\x20\\x09-\\x0D]*=[\\x20\\x09-\\x0D]*[\"']?(?:https?:)?//([^/?#\"'<>\\x20\\x09-\\x0D]+)"
 
 
@@ -66,22 +73,28 @@ def _shares(edges: DataFrame) -> DataFrame:
     return edges.join(out, "src").select("src", "dst", (F.col("p") / F.col("total")).alias("p"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, pages: int, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank of ``seeds`` (host, seed) along
-    ``links`` (src, dst, p).  Stops early once a block of rounds changes nothing."""
-    base = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("base"))
-    ranks = base.select("host", F.col("base").alias("rank"))
-    for done in range(0, rounds, BLOCK):
-        before = ranks
-        for _ in range(min(BLOCK, rounds - done)):
-            moved = links.join(ranks, links["src"] == ranks["host"]).select(F.col("dst").alias("host"), (DAMPING * F.col("p") * F.col("rank")).alias("rank"))
-            ranks = moved.unionByName(base.select("host", F.col("base").alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        ranks = materialize(ranks, "ranks")
-        off = ranks.join(before.withColumnRenamed("rank", "was"), "host", "left").select(
-            F.max(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).alias("d")).first()["d"]
-        if off is None or off < 1e-12:
-            break
-    return ranks
+    ``links`` (src, dst, p), converged for shares of ``pages`` pages.
+
+    ``step`` is what the last round added; all that later ones can add is
+    DAMPING / (1 - DAMPING) of it."""
+    spark = seeds.sparkSession
+    base = seeds.select("host", ((1 - DAMPING) * F.col("seed")).cast("double").alias("rank"))
+    state = base.select("*", F.col("rank").alias("step"))
+    least = base.agg(F.sum("rank")).first()[0]
+    path = None
+    while True:
+        for _ in range(BLOCK):
+            moved = links.join(state, links["src"] == state["host"]).select(F.col("dst").alias("host"), *[(DAMPING * F.col("p") * F.col(c)).alias(c) for c in ("rank", "step")])
+            state = moved.unionByName(base.select("*", F.lit(0.0).alias("step"))).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("step").alias("step"))
+        schema, last, path = state.schema, path, write_stage(state, "ranks")
+        state = spark.read.schema(schema).parquet(path)
+        if last:
+            drop_stage(spark, last)
+        step = state.agg(F.sum("step")).first()[0]
+        if not step or step * DAMPING / (1 - DAMPING) * pages <= tolerance * least:
+            return state.select("host", "rank")
 
 
 def judge_hosts(pages: DataFrame, links: DataFrame, tau: float = TAU) -> DataFrame:
@@ -89,9 +102,10 @@ def judge_hosts(pages: DataFrame, links: DataFrame, tau: float = TAU) -> DataFra
     count = lambda v: F.sum(F.when(F.col("rule_verdict") == v, 1).otherwise(0))
     hosts = materialize(pages.groupBy("host").agg(F.count("*").alias("n"), count("allow").alias("good"), count("block").alias("bad")), "hosts")
     score = hosts.select("host", "n")
+    pages_in_all = hosts.agg(F.sum("n")).first()[0] or 0
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p")
     for name, seed, edges in (("trust", "good", links), ("distrust", "bad", materialize(_shares(back), "back"))):
-        ranks = propagate(hosts.where(F.col(seed) > 0).select("host", F.col(seed).cast("double").alias("seed")), edges)
+        ranks = propagate(hosts.where(F.col(seed) > 0).select("host", F.col(seed).cast("double").alias("seed")), edges, pages_in_all)
         score = score.join(ranks.withColumnRenamed("rank", name), "host", "left")
     score = score.select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     total = score.select(F.sum("n").alias("n"), F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
