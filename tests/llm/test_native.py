@@ -69,6 +69,18 @@ def test_quality_thresholds_by_group(spark):
     assert not got.pop(999) and all(got.values())
 
 
+@pytest.mark.parametrize("share", [15, 30])
+def test_quality_junk_in_a_hot_source(spark, share):
+    """Junk is rejected also where a third of all rows, and more than a tenth of their source, is such."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, text + (" #" * 150 if i % 100 < share else ""), "en", "hot") for i in range(3000)]
+    rows += [(10_000 + i, text + " #" * (i % 4), "en", f"s{i % 20}") for i in range(6000)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: not (i < 3000 and i % 100 < share) for i, *_ in rows}
+    one = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows[:90], "doc_id long, text string, lang string, source string")).collect()}
+    assert len(one) == 90  # no others: its own spread
+
+
 def found(x):
     pats = {k: (re.compile(p), g, n) for k, (p, g, n) in secrets.BASE.items()}
     out = [(m.start(), list(pats).index(k), m.end(), k) for k, (p, g, n) in pats.items() for m in p.finditer(x or "") if len(m[g]) >= n]

@@ -9,9 +9,15 @@ group's sketch is merged with its language's and the corpus's, the
 wider ones scaled down to ``prior`` documents, so small groups borrow
 from larger ones.  The upper cutoff of a metric is
 
-    median + reach * (q90 - median) + slack
+    median + reach * min(q90 - median, the others' q90 - median) + slack
 
-and a document is rejected when a metric lies above its cutoff.
+and a document is rejected when a metric lies above its cutoff.  The
+others are the language's other sources and, scaled down to ``prior``
+documents, all other groups; none counts for more than ``prior``
+documents.  So a source full of junk, however large, widens neither its
+own cutoff nor much those of the rest.  A fault that most groups share,
+or more than half of a group, still counts as usual there, and a corpus
+of one group has no others.
 
 The three-word windows that a text repeats are found by sorting 64-bit
 window hashes with their positions, and only the windows flagged by a
@@ -124,6 +130,28 @@ def sketch(counted: DataFrame) -> DataFrame:
     return d.select("*", low.cast("long").alias("low"))
 
 
+def _quantiles(weighted: DataFrame) -> DataFrame:
+    """Median and q90 per (lang_key, source_key, metric) of decimal weights ``w`` per bucket."""
+    by = W.partitionBy("lang_key", "source_key", "metric")
+    run = weighted.select("*", F.sum("w").over(by.orderBy("bucket")).alias("upto"), F.sum("w").over(by).alias("total"))
+    q = lambda x: F.min(F.when(F.col("upto") >= F.col("total") * F.lit(x).cast("decimal(3,2)"), F.col("low")))
+    return run.where("total > 0").groupBy("lang_key", "source_key", "metric").agg(q(0.5).alias("q50"), q(0.9).alias("q90"))
+
+
+def _others(sk: DataFrame, prior: int) -> DataFrame:
+    """Per group, the merged sketch of the other groups: lang_key, source_key, metric, bucket, low, w."""
+    group = ["lang_key", "source_key", "metric"]
+    n = F.sum("n").over(W.partitionBy(*group))
+    own = sk.select(*group, "bucket", "low", F.round(F.col("n") * F.least(F.lit(1.0), prior / n), 6).cast("decimal(28,6)").alias("c"))
+    per_lang = own.groupBy("lang_key", "metric", "bucket").agg(F.sum("c").alias("in_lang"))
+    corpus = own.groupBy("metric", "bucket", "low").agg(F.sum("c").alias("in_all"))
+    d = own.groupBy(*group).agg(F.sum("c").alias("size")).join(corpus.withColumn("size_all", F.sum("in_all").over(W.partitionBy("metric"))), "metric")
+    d = d.join(per_lang, ["lang_key", "metric", "bucket"], "left").join(own.drop("low"), [*group, "bucket"], "left")
+    rest = lambda c: (F.coalesce(c, F.lit(0)) - F.coalesce("c", F.lit(0))).cast("double")
+    scale = F.least(F.lit(1.0), prior / F.greatest((F.col("size_all") - F.col("size")).cast("double"), F.lit(1.0)))
+    return d.select(*group, "bucket", "low", (rest(F.col("in_lang")) + rest(F.col("in_all")) * scale).alias("w"))
+
+
 def thresholds(sk: DataFrame, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
     """One row per (lang_key, source_key), an upper cutoff per metric.
 
@@ -139,11 +167,10 @@ def thresholds(sk: DataFrame, reach: float = REACH, prior: int = PRIOR) -> DataF
               .unionByName(groups.join(per_lang.withColumn("w", share("lang_key", "metric")), ["lang_key", "metric"]).select(*cols, "w"))
               .unionByName(groups.join(corpus.withColumn("w", share("metric")), ["metric"]).select(*cols, "w")))
     merged = merged.groupBy(*cols).agg(F.sum(F.round("w", 6).cast("decimal(28,6)")).alias("w"))
-    by = W.partitionBy("lang_key", "source_key", "metric")
-    run = merged.select("*", F.sum("w").over(by.orderBy("bucket")).alias("upto"), F.sum("w").over(by).alias("total"))
-    q = lambda x: F.min(F.when(F.col("upto") >= F.col("total") * F.lit(x).cast("decimal(3,2)"), F.col("low")))
-    cut = run.groupBy("lang_key", "source_key", "metric").agg(q(0.5).alias("q50"), q(0.9).alias("q90"))
-    cut = cut.select("lang_key", "source_key", "metric", (F.col("q50") + reach * (F.col("q90") - F.col("q50"))).alias("cut"))
+    others = _quantiles(_others(sk, prior).select(*cols, F.round("w", 6).cast("decimal(28,6)").alias("w")))
+    others = others.select("lang_key", "source_key", "metric", (F.col("q90") - F.col("q50")).alias("most"))
+    cut = _quantiles(merged).join(others, ["lang_key", "source_key", "metric"], "left")
+    cut = cut.select("lang_key", "source_key", "metric", (F.col("q50") + reach * F.least(F.col("q90") - F.col("q50"), "most")).alias("cut"))
     return cut.groupBy("lang_key", "source_key").agg(
         *[(F.max(F.when(F.col("metric") == m, F.col("cut"))) + slack).alias(f"max_{m}") for m, slack in METRICS.items()])
 
