@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from toposim.llm import bpe, chat, hosts, html_text, jaccard, merkle, packing, quality, secrets, toxicity
+from toposim.llm import bpe, chat, hosts, html_text, jaccard, merkle, packing, quality, repair, secrets, toxicity
 
 REGISTRY = {
     "op1_chat_prefix_targets": (chat.query, chat.ORACLE_SQL),
@@ -16,5 +16,6 @@ REGISTRY = {
     "op8_host_propagation": (hosts.query, hosts.ORACLE_SQL),
     "op9_certified_packing": (packing.query, None),
     "op10_secret_battery": (secrets.query, None),
+    "op11_lattice_repair": (repair.query, repair.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
