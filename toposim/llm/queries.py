@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from toposim.llm import bpe, chat, crosspoly, hosts, html_text, jaccard, merkle, packing, quality, repair, secrets, toxicity
+from toposim.llm import bpe, chat, crosspoly, hosts, html_text, jaccard, merkle, packing, quality, repair, secrets, spelling, toxicity
 
 REGISTRY = {
     "op1_chat_prefix_targets": (chat.query, chat.ORACLE_SQL),
@@ -18,5 +18,6 @@ REGISTRY = {
     "op10_secret_battery": (secrets.query, None),
     "op11_lattice_repair": (repair.query, repair.ORACLE_SQL),
     "op12_cross_polytope": (crosspoly.query, crosspoly.ORACLE_SQL),
+    "op13_letter_count_trees": (spelling.query, spelling.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from toposim.llm.common import lookup_join, materialize, table
+from toposim.llm.common import lookup_join, materialize, sql_crc32, table
 from toposim.llm.lattice import DELETE, FINAL, INSERT, NEXT, REROLE, ROLE, TRUNCATED, moves, solve, solve_short
 from toposim.llm.rowstream import batches_of, rows_of, runs
 from toposim.session import ship
@@ -314,14 +314,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(repair(damage(conv)), conv)
 
 
-def sql_crc32(text: str) -> str:
-    """DuckDB expression: the unsigned CRC-32 of a text's UTF-8 bytes, by the
-    definition (reflected polynomial 0xEDB88320, bit by bit)."""
-    bits = "list_reduce(list_prepend(xor(c, byte), range(8)::BIGINT[]), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
-    octets = f"list_transform(range(octet_length(encode({text})))::BIGINT[], lambda k: ('0x' || hex(encode({text}))[2 * k + 1 : 2 * k + 2])::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, byte: {bits}), 4294967295)"
-
-
 _BLANK = "regexp_replace(text, '[ \\t\\n\\v\\f\\r]+$', '')"
 
 
