@@ -49,9 +49,9 @@ TIMES = 10
 #: Every so manieth crc32 misspells a run.
 MISSPELT = 31
 #: Words of a leaf, and sampled words that the tops of the trees are cut by.
-LEAF, SAMPLE = 8192, 100_000
+LEAF, SAMPLE = 16_384, 50_000
 #: Points of a node that is not split further.
-_SMALL = 16
+_SMALL = 32
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _FLUSH = 300_000
@@ -115,8 +115,11 @@ def _spread(bits: np.ndarray) -> np.ndarray:
 
 def in_reach(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Whether a box (or point) is reached by raising one count and lowering one."""
-    up = np.bitwise_count(low & ~q).sum(-1)
-    down = np.bitwise_count(q & ~high).sum(-1)
+    up = down = np.uint8(0)
+    for k in range(_WORDS):
+        x = q[..., k]
+        up = up + np.bitwise_count(low[..., k] & ~x)
+        down = down + np.bitwise_count(x & ~high[..., k])
     return (up <= 1) & (down <= 1)
 
 
@@ -280,7 +283,9 @@ def group(counts: DataFrame, leaf: int = LEAF, sample: int = SAMPLE) -> DataFram
     total = sum(sizes.values())
     trees = {}
     if total:
-        picked = counts.where(F.length("word").isin(list(sizes))).orderBy(F.xxhash64("word"), "word").limit(sample)
+        # the words of least hashes: about ``sample`` of them however many there are
+        least = int(min(1.0, sample / total) * ((1 << 63) - 1))
+        picked = counts.where(F.length("word").isin(list(sizes)) & (F.shiftrightunsigned(F.xxhash64("word"), 1) <= least))
         by: dict[int, list[str]] = {}
         for r in picked.select("word").collect():
             by.setdefault(len(r.word), []).append(r.word)
