@@ -81,6 +81,16 @@ def test_quality_junk_in_a_hot_source(spark, share):
     assert len(one) == 90  # no others: its own spread
 
 
+def test_quality_many_sources(spark):
+    """The work of the thresholds grows with the sketches' rows: 16,000 groups are no join of groups and buckets."""
+    import time
+    rows = spark.range(64_000).selectExpr("concat('l', id % 3) lang_key", "concat('s', id % 16000) source_key", "explode(array('symbols', 'dup_lines')) metric",
+                                          "cast(pmod(xxhash64(id), 500) as long) bucket").groupBy("lang_key", "source_key", "metric", "bucket").count().withColumnRenamed("count", "n")
+    began = time.time()
+    assert quality.thresholds(rows).count() == 48_000
+    assert time.time() - began < 60
+
+
 def found(x):
     pats = {k: (re.compile(p), g, n) for k, (p, g, n) in secrets.BASE.items()}
     out = [(m.start(), list(pats).index(k), m.end(), k) for k, (p, g, n) in pats.items() for m in p.finditer(x or "") if len(m[g]) >= n]

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from toposim.llm.common import slices, table, texts_of
 from toposim.llm.cuts import PieceTable
+from toposim.session import ship
 
 
 class RankQueue:
@@ -262,6 +263,7 @@ def decoded(ids: bytes, vocabulary: Vocabulary) -> bytes:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``: the ids as little-endian unsigned 32-bit integers (binary)."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -273,6 +275,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the bytes of the ids (a null is read as no ids)."""
+    ship(encoded.sparkSession)
 
     @F.pandas_udf("binary")
     def content(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -285,6 +288,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` and ``decoded``, encoded and decoded in one worker."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("ids binary, decoded binary")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -293,8 +297,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             ids = encoder.encode(texts_of(s))
             yield pd.DataFrame({"ids": ids, "decoded": [decoded(x, encoder.vocabulary) for x in ids]})
 
-    d = docs.withColumn("__both", both(F.col(f"`{text}`")))
-    return d.withColumn("ids", F.col("__both.ids")).withColumn("decoded", F.col("__both.decoded")).drop("__both")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]
+    d = docs.select(F.struct(*rest).alias("__row"), both(F.col(f"`{text}`")).alias("both"))
+    return d.select("__row.*", "both.ids", "both.decoded")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

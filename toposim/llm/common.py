@@ -67,6 +67,13 @@ def texts_of(s: pd.Series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in s]
 
 
+def carried(df: DataFrame, *named: str) -> DataFrame:
+    """``df`` as one struct column ``__row`` beside copies of the columns
+    ``named``, so that no name of ``df`` can clash with a step's own;
+    ``select("__row.*")`` gives the rows back."""
+    return df.select(F.struct("*").alias("__row"), *[F.col(f"`{c}`") for c in named])
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, rows: int = 50_000, salts: int = 32) -> DataFrame:
     """Left join to ``right``, a written table with one row per key.
 

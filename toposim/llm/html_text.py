@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from toposim.llm.blocks import Block, blocks
 from toposim.llm.common import table, texts_of
+from toposim.session import ship
 
 PATHS, WORDS, FIGURES, HIDDEN = 256, 32, 8, 24
 TRAIN_PAGES, EPOCHS, SEED = 1_000, 14, 11
@@ -369,6 +370,7 @@ def main_texts(p: dict, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Adds ``out``, the main text of each page."""
+    ship(pages.sparkSession)
     weights = trained()
 
     @F.pandas_udf("string")

@@ -47,8 +47,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposim.llm.common import materialize, slices, table, texts_of
+from toposim.llm.common import carried, materialize, slices, table, texts_of
 from toposim.llm.components import connected
+from toposim.session import ship
 
 WORDS, PERCENT = 5, 80
 #: Shingles counted at once in a task, and the least count that a task reports.
@@ -435,6 +436,7 @@ def by_id(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long, weight = long_lists(docs)
     given = docs.sparkSession.sparkContext.broadcast((long, weight))
@@ -484,7 +486,8 @@ def link(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their component."""
     gone = materialize(link(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return by_id(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = carried(docs).withColumn("doc_id", F.col("__row.doc_id"))
+    return by_id(rows, gone, "doc_id", "left_anti").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

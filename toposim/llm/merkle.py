@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toposim.llm.common import table, texts_of
+from toposim.session import ship
 
 RUN = 6
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
@@ -188,6 +189,7 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """A fingerprint per row of ``docs`` (doc_id, text), its edited text's, and their likeness."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     n = max(2, buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a null doc_id is ordered as the least number

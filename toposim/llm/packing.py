@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from toposim.llm.bpe import _kept
 from toposim.llm.common import materialize, table, texts_of
+from toposim.session import ship
 
 CAPACITY = 1024
 END_ID = 2
@@ -78,6 +79,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece; ``deal`` numbers a task's pieces, to deal them out evenly."""
+    ship(docs.sparkSession)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,6 +152,7 @@ def _pack_partition(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def pack(pieces: DataFrame, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to ``pieces``."""
+    ship(pieces.sparkSession)
     todo = materialize(pieces, "pieces")
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     done, parts = None, max(1, -(-todo.count() // per_partition))

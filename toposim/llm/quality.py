@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from toposim.llm.common import lookup_join, materialize, table
+from toposim.llm.common import carried, lookup_join, materialize, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -45,6 +45,8 @@ METRICS = {"symbols": 200, "dup_lines": 2500, "repeats": 2500, "shouting": 2500}
 REACH = 4.0
 PRIOR = 2000
 SCALE = 10_000
+#: Weights are counted in millionths; a value of at most ``SCALE`` lies in bucket ``TOP`` or below.
+UNIT, TOP = 1_000_000, 526
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -119,58 +121,89 @@ def _key(name: str) -> Column:
 
 def sketch(counted: DataFrame) -> DataFrame:
     """(lang, source) sketches of the documents that pass the base rule:
-    lang_key, source_key, metric, bucket, low (the bucket's least value), n."""
+    lang_key, source_key, metric, bucket, n."""
     values = metric_values()
     d = counted.where(~base_failed()).select(_key("lang").alias("lang_key"), _key("source").alias("source_key"),
                                              F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in values.items()])).alias("m"))
-    d = d.select("lang_key", "source_key", "m.metric", bucket(F.col("m.v")).alias("bucket"))
-    d = d.groupBy("lang_key", "source_key", "metric", "bucket").agg(F.count("*").alias("n"))
-    shift = F.greatest(F.floor(F.col("bucket") / 64) - 1, F.lit(0)).cast("int")
-    low = F.when(F.col("bucket") < 64, F.col("bucket")).otherwise(F.call_function("shiftleft", F.col("bucket") - shift * 64, shift))
-    return d.select("*", low.cast("long").alias("low"))
+    d = d.select("lang_key", "source_key", "m.metric", F.least(bucket(F.col("m.v")), F.lit(TOP)).alias("bucket"))
+    return d.groupBy("lang_key", "source_key", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def _quantiles(weighted: DataFrame) -> DataFrame:
-    """Median and q90 per (lang_key, source_key, metric) of decimal weights ``w`` per bucket."""
-    by = W.partitionBy("lang_key", "source_key", "metric")
-    run = weighted.select("*", F.sum("w").over(by.orderBy("bucket")).alias("upto"), F.sum("w").over(by).alias("total"))
-    q = lambda x: F.min(F.when(F.col("upto") >= F.col("total") * F.lit(x).cast("decimal(3,2)"), F.col("low")))
-    return run.where("total > 0").groupBy("lang_key", "source_key", "metric").agg(q(0.5).alias("q50"), q(0.9).alias("q90"))
+def _low(b: Column) -> Column:
+    """The least value of a bucket."""
+    shift = F.greatest(F.floor(b / 64) - 1, F.lit(0)).cast("int")
+    return F.when(b < 64, b).otherwise(F.call_function("shiftleft", b - shift * 64, shift)).cast("long")
 
 
-def _others(sk: DataFrame, prior: int) -> DataFrame:
-    """Per group, the merged sketch of the other groups: lang_key, source_key, metric, bucket, low, w."""
-    group = ["lang_key", "source_key", "metric"]
-    n = F.sum("n").over(W.partitionBy(*group))
-    own = sk.select(*group, "bucket", "low", F.round(F.col("n") * F.least(F.lit(1.0), prior / n), 6).cast("decimal(28,6)").alias("c"))
-    per_lang = own.groupBy("lang_key", "metric", "bucket").agg(F.sum("c").alias("in_lang"))
-    corpus = own.groupBy("metric", "bucket", "low").agg(F.sum("c").alias("in_all"))
-    d = own.groupBy(*group).agg(F.sum("c").alias("size")).join(corpus.withColumn("size_all", F.sum("in_all").over(W.partitionBy("metric"))), "metric")
-    d = d.join(per_lang, ["lang_key", "metric", "bucket"], "left").join(own.drop("low"), [*group, "bucket"], "left")
-    rest = lambda c: (F.coalesce(c, F.lit(0)) - F.coalesce("c", F.lit(0))).cast("double")
-    scale = F.least(F.lit(1.0), prior / F.greatest((F.col("size_all") - F.col("size")).cast("double"), F.lit(1.0)))
-    return d.select(*group, "bucket", "low", (rest(F.col("in_lang")) + rest(F.col("in_all")) * scale).alias("w"))
+def _quantile(x: float, upto, total: Column) -> Column:
+    """The least value whose bucket's cumulated weight ``upto(bucket)``
+    reaches the share ``x`` of ``total``, by binary search."""
+    def step(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        enough = upto(mid) >= total * x
+        return F.struct(F.when(enough, at["lo"]).otherwise(F.least(mid + 1, at["hi"])).alias("lo"),
+                        F.when(enough, mid).otherwise(at["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(TOP).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TOP.bit_length())), start, step, lambda at: _low(at["hi"]))
+
+
+def _running(weights: DataFrame, by: list[str]) -> DataFrame:
+    """Per key of ``by`` the running sums of n and c over all buckets, as
+    arrays from bucket 0 to ``TOP``."""
+    every = weights.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(TOP))).alias("bucket"))
+    every = every.select(*by, F.col("bucket").cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"))
+    d = weights.select(*by, "bucket", "n", "c").unionByName(every).groupBy(*by, "bucket").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    run = W.partitionBy(*by).orderBy("bucket")
+    d = d.select(*by, F.struct("bucket", F.sum("n").over(run).alias("n"), F.sum("c").over(run).alias("c")).alias("r"))
+    d = d.groupBy(*by).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return d.select(*by, F.col("r.n").alias(f"n_{len(by)}"), F.col("r.c").alias(f"c_{len(by)}"))
 
 
 def thresholds(sk: DataFrame, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
     """One row per (lang_key, source_key), an upper cutoff per metric.
 
-    The language's and the corpus's sketches are the sums of the
-    groups'; each is scaled to ``prior`` documents before merging.
+    Weights are whole millionths of documents.  The language's and the
+    corpus's sketches become arrays of running sums once; each group looks
+    its quantiles up in them and in its own short list, so the work grows
+    with the rows of the sketches.
     """
-    groups = sk.select("lang_key", "source_key", "metric").distinct()
-    per_lang = sk.groupBy("lang_key", "metric", "bucket", "low").agg(F.sum("n").alias("n"))
-    corpus = per_lang.groupBy("metric", "bucket", "low").agg(F.sum("n").alias("n"))
-    share = lambda *by: F.lit(prior) * F.col("n") / F.sum("n").over(W.partitionBy(*by))
-    cols = ("lang_key", "source_key", "metric", "bucket", "low")
-    merged = (sk.select(*cols, F.col("n").cast("double").alias("w"))
-              .unionByName(groups.join(per_lang.withColumn("w", share("lang_key", "metric")), ["lang_key", "metric"]).select(*cols, "w"))
-              .unionByName(groups.join(corpus.withColumn("w", share("metric")), ["metric"]).select(*cols, "w")))
-    merged = merged.groupBy(*cols).agg(F.sum(F.round("w", 6).cast("decimal(28,6)")).alias("w"))
-    others = _quantiles(_others(sk, prior).select(*cols, F.round("w", 6).cast("decimal(28,6)").alias("w")))
-    others = others.select("lang_key", "source_key", "metric", (F.col("q90") - F.col("q50")).alias("most"))
-    cut = _quantiles(merged).join(others, ["lang_key", "source_key", "metric"], "left")
-    cut = cut.select("lang_key", "source_key", "metric", (F.col("q50") + reach * F.least(F.col("q90") - F.col("q50"), "most")).alias("cut"))
+    group = ["lang_key", "source_key", "metric"]
+    own = sk.groupBy(*group).agg(F.sum("n").alias("size"), F.collect_list(F.struct("bucket", "n")).alias("own"))
+    # c: a group's documents, at most ``prior`` of them
+    c = lambda n: F.when(F.col("size") <= prior, n * UNIT).otherwise(F.floor(n * F.lit(prior * UNIT).cast("decimal(20,0)") / F.col("size")).cast("long"))
+    own = own.select(*group, "size", F.transform("own", lambda x: F.struct(x["bucket"].alias("b"), x["n"].alias("n"), c(x["n"]).alias("c"))).alias("own"))
+    own = materialize(own, "quality-own")
+    flat = own.select(*group, F.explode("own").alias("o")).select(*group, F.col("o.b").alias("bucket"), "o.n", "o.c")
+    per_lang = flat.groupBy("lang_key", "metric", "bucket").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    langs = materialize(_running(per_lang, ["lang_key", "metric"]), "quality-langs")
+    corpus = _running(per_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), ["metric"])
+    # at most 2,000 rows of 8 KB are broadcast; a row for each of the four metrics in any case
+    d = lookup_join(own, langs, ["lang_key", "metric"], F.col("source_key"), rows=2000).join(F.broadcast(corpus), "metric")
+
+    def mine(field: str, b: Column) -> Column:
+        return F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + F.when(x["b"] <= b, x[field]).otherwise(F.lit(0)))
+
+    def share(arr: str, b: Column) -> Column:
+        return F.floor(F.get(arr, b) * F.lit(prior * UNIT).cast("decimal(20,0)") / F.get(arr, F.lit(TOP))).cast("long")
+
+    def merged(b: Column) -> Column:
+        return mine("n", b) * UNIT + share("n_2", b) + share("n_1", b)
+
+    last = F.lit(TOP)
+    d = d.select("*", mine("c", last).alias("mine"), merged(last).alias("total"))
+    d = d.select("*", (F.get("c_1", last) - F.col("mine")).alias("rest"))
+    scale = F.least(F.lit(1.0), F.lit(float(prior * UNIT)) / F.greatest(F.col("rest"), F.lit(1)))
+
+    def others(b: Column) -> Column:
+        own_c = mine("c", b)
+        return (F.get("c_2", b) - own_c).cast("double") + (F.get("c_1", b) - own_c).cast("double") * scale
+
+    d = d.select("*", others(last).alias("other_total"))
+    d = d.select("lang_key", "source_key", "metric",
+                 _quantile(0.5, merged, F.col("total")).alias("q50"), _quantile(0.9, merged, F.col("total")).alias("q90"),
+                 F.when(F.col("rest") > 0, _quantile(0.9, others, F.col("other_total")) - _quantile(0.5, others, F.col("other_total"))).alias("most"))
+    cut = d.select("lang_key", "source_key", "metric", (F.col("q50") + reach * F.least(F.col("q90") - F.col("q50"), "most")).alias("cut"))
     return cut.groupBy("lang_key", "source_key").agg(
         *[(F.max(F.when(F.col("metric") == m, F.col("cut"))) + slack).alias(f"max_{m}") for m, slack in METRICS.items()])
 
@@ -197,9 +230,9 @@ def keep(docs: DataFrame) -> DataFrame:
 
     The counted documents are written once, so texts are neither counted
     twice nor shuffled."""
-    counted = materialize(with_counts(docs), "quality")
+    counted = materialize(with_counts(carried(docs, "doc_id", "text", "lang", "source")).drop("text"), "quality")
     limits = materialize(thresholds(sketch(counted)), "quality-cut")
-    return apply_thresholds(counted, limits).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return apply_thresholds(counted, limits).where("kept").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +244,7 @@ def _oracle() -> str:
             "repeats": ("n_repeat_words", "n_words", 30), "shouting": ("n_upper", "word_chars", 20)}
     value = {m: f"CAST(floor({SCALE} * {a} / ({b} + {k})) AS BIGINT)" for m, (a, b, k) in more.items()}
     unpivot = " UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, {v} AS v FROM c WHERE NOT base_failed" for m, v in value.items())
-    q = lambda x: f"min(low) FILTER (upto >= total * {x})"
+    q = lambda upto, total, x: f"min(low) FILTER ({upto}::DOUBLE >= {total}::DOUBLE * {x}::DOUBLE)"
     above = " OR ".join(f"{value[m]} > coalesce(max_{m}, 1e12)" for m in METRICS)
     cuts = ", ".join(f"max(cut) FILTER (metric = '{m}') + {slack} AS max_{m}" for m, slack in METRICS.items())
     return rf"""
@@ -228,18 +261,24 @@ c0 AS (SELECT w.rid, doc_id, lk, sk, len(ws) AS n_words, length(array_to_string(
        FROM w LEFT JOIN rep ON w.rid = rep.rid),
 c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c0),
 b AS (SELECT lk, sk, metric, greatest(length(bin(v)) - 7, 0) AS s, v FROM ({unpivot})),
-k AS (SELECT lk, sk, metric, s * 64 + (v >> s) AS bucket, count(*) AS n FROM b GROUP BY ALL),
-sk AS (SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 64 - 1) * 64) << CAST(bucket // 64 - 1 AS INTEGER) END AS low FROM k),
-g AS (SELECT DISTINCT lk, sk, metric FROM sk),
-pl AS (SELECT lk, metric, bucket, low, sum(n) AS n FROM sk GROUP BY ALL),
-co AS (SELECT metric, bucket, low, sum(n) AS n FROM pl GROUP BY ALL),
-m AS (SELECT lk, sk, metric, bucket, low, CAST(n AS DOUBLE) AS w FROM sk
-      UNION ALL SELECT lk, sk, metric, bucket, low, w FROM g JOIN (SELECT *, {PRIOR} * n / CAST(sum(n) OVER (PARTITION BY lk, metric) AS DOUBLE) AS w FROM pl) USING (lk, metric)
-      UNION ALL SELECT lk, sk, metric, bucket, low, w FROM g JOIN (SELECT *, {PRIOR} * n / CAST(sum(n) OVER (PARTITION BY metric) AS DOUBLE) AS w FROM co) USING (metric)),
-s AS (SELECT lk, sk, metric, bucket, low, sum(CAST(round(w, 6) AS DECIMAL(28, 6))) AS w FROM m GROUP BY ALL),
-r AS (SELECT *, sum(w) OVER (PARTITION BY lk, sk, metric ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lk, sk, metric) AS total FROM s),
-q AS (SELECT lk, sk, metric, {q('0.50')} AS q50, {q('0.90')} AS q90 FROM r GROUP BY ALL),
-l AS (SELECT lk, sk, metric, q50 + {REACH} * (q90 - q50) AS cut FROM q),
+k AS (SELECT lk, sk, metric, least(s * 64 + (v >> s), {TOP}) AS bucket, count(*) AS n FROM b GROUP BY ALL),
+g AS (SELECT lk, sk, metric, sum(n)::BIGINT AS size FROM k GROUP BY ALL),
+grid AS (SELECT g.*, u.b AS bucket FROM g, range({TOP + 1}) u(b)),
+o AS (SELECT grid.*, coalesce(n, 0) AS n,
+             CASE WHEN size <= {PRIOR} THEN coalesce(n, 0) * {UNIT} ELSE (coalesce(n, 0)::HUGEINT * {PRIOR * UNIT}) // size END::BIGINT AS c
+      FROM grid LEFT JOIN k USING (lk, sk, metric, bucket)),
+r AS (SELECT lk, sk, metric, bucket, sum(n) OVER own AS n, sum(c) OVER own AS c FROM o WINDOW own AS (PARTITION BY lk, sk, metric ORDER BY bucket)),
+e AS (SELECT r.*, l.n AS ln, l.c AS lc, a.n AS an, a.c AS ac FROM r
+      JOIN (SELECT lk, metric, bucket, sum(n) AS n, sum(c) AS c FROM r GROUP BY ALL) l USING (lk, metric, bucket)
+      JOIN (SELECT metric, bucket, sum(n) AS n, sum(c) AS c FROM r GROUP BY ALL) a USING (metric, bucket)),
+f AS (SELECT *, max(ln) OVER w AS l_all, max(an) OVER w AS a_all, max(ac - c) OVER w AS rest FROM e WINDOW w AS (PARTITION BY lk, sk, metric)),
+h AS (SELECT lk, sk, metric, CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 64 - 1) * 64) << CAST(bucket // 64 - 1 AS INTEGER) END AS low,
+             n * {UNIT} + (ln * {PRIOR * UNIT}) // l_all + (an * {PRIOR * UNIT}) // a_all AS upto,
+             CASE WHEN rest > 0 THEN (lc - c)::DOUBLE + (ac - c)::DOUBLE * least(1.0::DOUBLE, {float(PRIOR * UNIT)}::DOUBLE / greatest(rest, 1)::DOUBLE) END AS other FROM f),
+t2 AS (SELECT *, max(upto) OVER w AS total, max(other) OVER w AS other_total FROM h WINDOW w AS (PARTITION BY lk, sk, metric)),
+q AS (SELECT lk, sk, metric, {q('upto', 'total', 0.5)} AS q50, {q('upto', 'total', 0.9)} AS q90,
+             {q('other', 'other_total', 0.9)} - {q('other', 'other_total', 0.5)} AS most FROM t2 GROUP BY ALL),
+l AS (SELECT lk, sk, metric, q50 + {REACH} * least(q90 - q50, most) AS cut FROM q),
 lim AS (SELECT lk, sk, {cuts} FROM l GROUP BY lk, sk)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

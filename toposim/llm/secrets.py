@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from toposim.llm.common import materialize, sha256_hex, table
+from toposim.llm.common import carried, materialize, sha256_hex, table
 
 #: Kind -> (pattern, group to measure, least length).  Fixed values.
 BASE = {
@@ -203,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by ``[SECRET]`` and n_chars counted
     anew; overlapping spans become one.  Other rows stay as they are."""
-    found = materialize(with_spans(docs), "secrets")
+    found = materialize(with_spans(carried(docs, "text")).drop("text"), "secrets").withColumn("text", F.col("__row.text"))
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -216,9 +216,11 @@ def redact(docs: DataFrame) -> DataFrame:
     clean = F.aggregate("spans", none, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
     d = d.withColumn("text", text)
+    row = F.col("__row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+        counted = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        row = row.withField("n_chars", F.when(F.size("spans") > 0, counted).otherwise(F.col("__row.n_chars")))
+    return d.select(row.alias("__row")).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ significant ones, and the share of its tokens inside them.
 
 The model is fitted on at most ``TRAIN_DOCS`` labelled rows (those with
 the least hashes of their ids), rows of the held-out fifth never among
-them.  Language, source, id and label are never inputs of a score.
+them; all their tokens that pass both bounds are scored.  Language, source, id and label are never inputs of a score.
 
 Defined cases: a null or empty text has no passages and gets the curve's
 value at no evidence; without labels of both kinds every score is 0;
@@ -38,9 +38,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposim.llm.common import materialize, table, texts_of
+from toposim.llm.common import carried, materialize, table, texts_of
+from toposim.session import ship
 
-TRAIN_DOCS, LEXICON = 20_000, 20_000
+TRAIN_DOCS = 20_000
 PRIOR, Z_MIN, LEAST, CAP, COST, ALPHA = 2_000.0, 2.5, 1.5, 8.0, 0.2, 0.05
 STEMS = (6, 5, 4)
 MEMO = 300_000
@@ -169,6 +170,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """The model, fitted on at most ``train_docs`` labelled rows."""
+    ship(docs.sparkSession)
     ids = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     ids = materialize(ids.select(F.col("doc_id").alias("__id"), "toxic"), "train-ids")
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         "toxic")
     # a token no clean text has gets the variance of its prior alone: ask for a few occurrences too
     z = F.when(F.col("toxic") >= 5, F.col("d") / F.least("se", F.lit(1.5)))
-    best = odds.select("token", "p0", "d", z.alias("z")).where((F.col("z") > Z_MIN) & (F.col("d") >= LEAST)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    best = odds.select("token", "p0", "d", z.alias("z")).where((F.col("z") > Z_MIN) & (F.col("d") >= LEAST)).orderBy(F.desc("z"), "token").collect()
     model = Model({r["token"]: min(r["d"], CAP) for r in best})
     if not best:
         return Model()
@@ -198,24 +201,32 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
 
     known = model.scores
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = Scores(known)
         for pdf in batches:
             rows = []
-            for text, toxic in zip(texts_of(pdf["text"]), pdf["toxic"].tolist()):
+            for text in texts_of(pdf["text"]):
                 n, hits = hits_of(text, scores)
-                segs = segments(hits)
-                rows.append((n, toxic, [v for s in segs for v in s]))
-            yield pd.DataFrame(rows, columns=["n", "toxic", "segs"])
+                rows.append((n, max((s[2] for s in segments(hits)), default=0.0)))
+            yield pd.DataFrame(rows, columns=["n", "top"])
 
-    seen = train.mapInPandas(scan, "n int, toxic int, segs array<double>").toPandas()  # at most TRAIN_DOCS short rows
-    seen["segs"] = [list(zip(s[0::3], s[1::3], s[2::3])) for s in seen["segs"]]
-    clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
     # mean of the Gumbel law: lambda S - ln(K n) has mean 0.5772
-    tops = [model.lam * max((s[2] for s in segs), default=0.0) - math.log(n) for n, segs in zip(clean["n"], clean["segs"])]
-    model.log_k = float(np.mean(tops)) - 0.5772156649 if tops else 0.0
-    x = np.array([features(n, s, model) for n, s in zip(seen["n"], seen["segs"])])
-    model.weights = _logistic(x, seen["toxic"].to_numpy(float))
+    clean = train.where("toxic = 0").mapInPandas(tops, "n long, top double").where("n > 0")
+    mean = clean.agg(F.avg(model.lam * F.col("top") - F.ln("n"))).first()[0]
+    model.log_k = mean - 0.5772156649 if mean is not None else 0.0
+
+    def inputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(known)
+        for pdf in batches:
+            rows = []
+            for text, toxic in zip(texts_of(pdf["text"]), pdf["toxic"].tolist()):
+                n, hits = hits_of(text, scores)
+                rows.append((toxic, *features(n, segments(hits), model)))
+            yield pd.DataFrame(rows, columns=["toxic", "a", "b", "c"])
+
+    # at most train_docs rows of four numbers
+    seen = train.mapInPandas(inputs, "toxic int, a double, b double, c double").orderBy("toxic", "a", "b", "c").toPandas()
+    model.weights = _logistic(seen[["a", "b", "c"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 
@@ -238,6 +249,7 @@ def judge(text: str, m: Model, scores: Scores) -> tuple[float, list[tuple[int, i
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``toxicity`` (score double, passages array of start, end, evidence)."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("score double, passages array<struct<start:int,end:int,evidence:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -252,8 +264,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` scored under 0.5, with the same columns."""
-    d = score(docs, fit(docs, labels))
-    return d.where("toxicity.score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = score(carried(docs, "text"), fit(docs.select("doc_id", "text"), labels))
+    return d.where("toxicity.score < 0.5").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
