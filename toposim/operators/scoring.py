@@ -1,26 +1,31 @@
 """Pair scoring: add one double column per measure to a pairs DataFrame.
 
-All measures are row-local (native expressions or Arrow kernels), so
-scoring never shuffles.  Gram arrays are projected once per side and
-the measures are computed over them in a second projection, because
-Catalyst does not share sub-expressions that sit inside lambdas.
-
-:func:`score_many` scores several string pairs of the same row in one
-go: every kernel call then sits in one projection, so Spark evaluates
-them in a single Arrow stage instead of a chain of them.
+Gram measures alone stay native expressions, character measures alone
+one kernel call: both are row-local.  Gram arrays are projected once per
+side and the measures are computed over them in a second projection,
+because Catalyst does not share sub-expressions that sit inside lambdas.
+
+Where token measures or a mixture are asked for, one Arrow call scores
+all string pairs of a row (``pairkernel``): equal string pairs of a
+batch are scored once, and the token measures read the dictionary of
+token pairs (E0), which is scored once over the whole table.  A stream
+has no whole table; there a batch's token pairs are scored per batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toposim.functions import pairkernel
 from toposim.functions.grams import gram_columns, native_from_columns
 from toposim.functions.kernels import MEASURES as KERNELS
 from toposim.functions.kernels import kernels
 from toposim.functions.registry import NATIVE, base_name, measure
+from toposim.functions.text import split_space, strip_accents
+from toposim.operators import tokenpairs
 
 
 def _is_kernel(m: str) -> bool:
@@ -32,8 +37,56 @@ def _kernel_names(ms: Sequence[str]) -> dict[int, tuple[str, ...]]:
     return {side: tuple(base_name(m) for m in ms if _is_kernel(m) and (m != base_name(m)) == bool(side)) for side in (0, 1)}
 
 
+def _plain(s) -> Column:
+    """A string as E3 compares it."""
+    return F.replace(strip_accents(F.lower(s)), F.lit("-"), F.lit(" "))
+
+
+def _token_lists(jobs) -> list[tuple[Column, Column]]:
+    """Token arrays whose pairs the jobs' token measures may ask for, each
+    side first once; many jobs on parts of the same names share a list."""
+    got = []
+    for s1, s2, ms, _ in jobs:
+        x, y = (F.coalesce(F.col(s), F.lit("")) for s in (s1, s2))
+        if {"monge_elkan", "soft_jaccard"} & set(ms):
+            got.append((split_space(x), split_space(y)))
+        if "davies" in ms:
+            got.append((split_space(_plain(x)), split_space(_plain(y))))
+    if len(got) > 8:
+        got = [tuple(F.array_distinct(F.concat(*side)) for side in zip(*got))]
+    return got + [(b, a) for a, b in got]
+
+
+def _score_together(df: DataFrame, jobs) -> DataFrame:
+    cols = df.columns
+    lists = _token_lists(jobs)
+    if lists and not df.isStreaming:
+        df = tokenpairs.attach(df, lists)
+    else:
+        df = df.withColumn(tokenpairs.WEIGHTS, F.lit(None).cast("array<struct<x:string,y:string,w:double>>"))
+    pairs = []
+    for s1, s2, ms, _ in jobs:
+        x, y = (F.coalesce(F.col(s), F.lit("")) for s in (s1, s2))
+        p, q = (_plain(x), _plain(y)) if "davies" in ms else (F.lit(""), F.lit(""))
+        pairs.append(F.struct(x.alias("a"), y.alias("b"), p.alias("pa"), q.alias("pb")))
+    measures = [[m for m in ms if pairkernel.known(m)] for _, _, ms, _ in jobs]
+    st = df.select(*cols, pairkernel.pair_scores(measures, F.array(*pairs), F.col(tokenpairs.WEIGHTS)).alias("_v"))
+    out, at = [], 0
+    for (s1, s2, ms, prefix), mine in zip(jobs, measures):
+        for m in ms:
+            if m in mine:
+                out.append(F.get("_v", F.lit(at)).alias(prefix + m))
+                at += 1
+            else:  # a measure that a user registered
+                out.append(measure(m)(F.coalesce(F.col(s1), F.lit("")), F.coalesce(F.col(s2), F.lit(""))).alias(prefix + m))
+    return st.select(*cols, *out)
+
+
 def score_many(df: DataFrame, jobs: Sequence[tuple[str, str, Sequence[str], str]]) -> DataFrame:
     """``jobs`` = [(s1, s2, measures, prefix)]: adds ``prefix + measure``."""
+    asked = {m for _, _, ms, _ in jobs for m in ms if pairkernel.known(m)}
+    if asked & set(pairkernel.TOKEN) or (asked & set(NATIVE) and asked - set(NATIVE)):
+        return _score_together(df, jobs)
     cols = df.columns
     strings = []
     for n, (s1, s2, _, _) in enumerate(jobs):
