@@ -105,6 +105,33 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("id").alias("poi_id"), "name", F.col("lon").alias("x"), F.col("lat").alias("y"))
 
 
+#: Rings (offsets from the centre, closed) of the shapes by nation key mod 5, and their areas.
+SHAPES = [
+    ([[(-12, -12), (12, -12), (12, 12), (-12, 12)], [(-5, -5), (5, -5), (5, 5), (-5, 5)]], 476.0),  # with a hole
+    ([[(-10, -10), (10, -10), (10, -4), (-4, -4), (-4, 10), (-10, 10)]], 204.0),  # an L
+    ([[(-13, -4), (-5, -4), (-5, 4), (-13, 4)], [(4, -2), (14, -2), (14, 8), (4, 8)]], 164.0),  # two parts
+    ([[(-30, -25), (30, -25), (30, -15), (-18, -15), (-18, 15), (30, 15), (30, 25), (-30, 25)]], 1560.0),  # a large C
+    ([[(0, -0.25), (0.25, 0), (0, 0.25), (-0.25, 0)]], 0.125),  # tiny, around a point
+]
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons with holes, several parts, concave, large and tiny ones; the
+    named and unnamed as in ``polygons``."""
+    n = table(spark, sf_dir, "nation")
+    cx, cy = _lon("n_nationkey"), _lat("n_nationkey")
+    rings, area = None, None
+    for kind, (rs, a) in enumerate(SHAPES):
+        is_kind = F.col("n_nationkey") % len(SHAPES) == kind
+        made = F.array(*[F.array(*[F.struct((cx + float(x)).alias("x"), (cy + float(y)).alias("y")) for x, y in r + r[:1]]) for r in rs])
+        rings = F.when(is_kind, made) if rings is None else rings.when(is_kind, made)
+        area = F.when(is_kind, F.lit(a)) if area is None else area.when(is_kind, F.lit(a))
+    return n.select(F.col("n_nationkey").cast("bigint").alias("id"),
+                    F.when(F.col("n_regionkey") == 0, F.array().cast("array<string>"))
+                    .otherwise(F.array(F.lower("n_name"), F.concat(F.lit("land "), F.col("n_nationkey").cast("string")))).alias("names"),
+                    rings.alias("rings"), area.alias("area"))
+
+
 # ---- DuckDB twins ---------------------------------------------------------
 
 PLACES_A_SQL = """
@@ -148,13 +175,28 @@ SELECT CAST(n_nationkey AS BIGINT) AS id,
        400.0::DOUBLE AS area
 FROM nation"""
 
+_SHAPE_EDGES = ", ".join(
+    f"({kind}, {float(p[0])}::DOUBLE, {float(p[1])}::DOUBLE, {float(q[0])}::DOUBLE, {float(q[1])}::DOUBLE)"
+    for kind, (rings, _) in enumerate(SHAPES) for r in rings for p, q in zip(r, r[1:] + r[:1]))
+
+#: id, names, area, and one row per edge
+SHAPES_SQL = f"""
+SELECT CAST(n_nationkey AS BIGINT) AS id,
+       CASE WHEN n_regionkey = 0 THEN []::VARCHAR[]
+            ELSE [lower(n_name), 'land ' || CAST(n_nationkey AS VARCHAR)] END AS names,
+       {[a for _, a in SHAPES]}[n_nationkey % {len(SHAPES)} + 1]::DOUBLE AS area,
+       lon + v.ax AS ax, lat + v.ay AS ay, lon + v.bx AS bx, lat + v.b_y AS b_y
+FROM (SELECT *, CAST((n_nationkey * 7919) % 3600 AS DOUBLE) / 10 - 180 AS lon,
+             CAST((n_nationkey * 104729) % 1600 AS DOUBLE) / 10 - 80 AS lat FROM nation)
+JOIN (VALUES {_SHAPE_EDGES}) v(kind, ax, ay, bx, b_y) ON n_nationkey % {len(SHAPES)} = v.kind"""
+
 POIS_SQL = f"""
 SELECT id AS poi_id, name, lon AS x, lat AS y FROM ({PLACES_A_SQL})"""
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix ``sql`` with the named derived views as CTEs."""
-    defs = {"pairs": PAIRS_SQL, "polygons": POLYGONS_SQL, "pois": POIS_SQL,
+    defs = {"pairs": PAIRS_SQL, "polygons": POLYGONS_SQL, "shapes": SHAPES_SQL, "pois": POIS_SQL,
             "places_a": PLACES_A_SQL, "places_b": PLACES_B_SQL, "gazetteer": GAZETTEER_SQL}
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in names)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql}"
