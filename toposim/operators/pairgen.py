@@ -156,3 +156,55 @@ def hard_pairs(gaz: DataFrame, per_place: int = 2, alt_min_len: int = 3, min_nam
     out = pos.unionByName(neg)
     return out.select("s1", "s2", "status", "id1", "id2", detect_alphabet("s1").alias("alphabet1"),
                       detect_alphabet("s2").alias("alphabet2"), "cc1", "cc2")
+
+
+#: Similarities at which places are settled, from the highest; the last admits any common gram.
+ROUNDS = (0.8, 0.6, 0.4, 0.2, 1e-6)
+
+
+def similar_pairs(gaz: DataFrame, per_place: int = 2, alt_min_len: int = 3, min_names: int = MIN_NAMES,
+                  seed: int = SEED) -> DataFrame:
+    """G9 over all places: per place the ``per_place`` pairs (a name of
+    another place, a name of this one) of the greatest gram Jaccard > 0
+    that differ after lower-casing; ties by md5 order.  ``s1, s2, id1,
+    id2, jaccard``; ``id1`` is the least other place with the name.
+
+    A top-k join with a falling bound: names are joined at ``ROUNDS[0]``;
+    places with enough pairs at or over the bound are settled, and only the
+    others' names are asked again at the next one.  A name that many places
+    share is one row of the join, and it keeps its two least places, which
+    is all that "another place" needs.
+    """
+    from pyspark.sql import Window
+
+    from toposim.operators.gramjoin import gram_sets, pairs_above
+
+    pl = places(gaz, min_names, alt_min_len=alt_min_len)
+    held = materialize(pl.select(F.col("id").alias("place"), F.explode("names").alias("name")).distinct(), "place-names")
+    first = held.groupBy("name").agg(F.min("place").alias("p1"))
+    second = held.join(first, "name").where("place <> p1").groupBy("name").agg(F.min("place").alias("p2"))
+    names = materialize(first.join(second, "name", "left").withColumn("id", F.monotonically_increasing_id()), "names")
+    sets = materialize(gram_sets(names, "id", "name").select("id", "n", "grams"), "name-grams")
+    held = materialize(held.join(names.select("name", F.col("id").alias("nid")), "name").select("place", "nid"), "held")
+    left, done = held, None
+    key = F.md5(F.concat_ws("|", F.col("s1"), F.col("s2"), F.lit(str(seed))))
+    for t in ROUNDS:
+        asked = left.select(F.col("nid").alias("id")).distinct().withColumn("probe", F.lit(True))
+        pairs = pairs_above(materialize(sets.join(asked, "id", "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "asked"), t)
+        both = pairs.unionByName(pairs.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "jaccard"))
+        own = names.select(F.col("id").alias("id2"), F.col("name").alias("s2"))
+        other = names.select(F.col("id").alias("id1"), F.col("name").alias("s1"), "p1", "p2")
+        d = both.join(own, "id2").join(other, "id1").where(F.lower("s1") != F.lower("s2"))
+        d = d.join(left, d["id2"] == left["nid"])
+        d = d.withColumn("q", F.when(F.col("p1") != F.col("place"), F.col("p1")).otherwise(F.col("p2"))).where("q IS NOT NULL")
+        best = Window.partitionBy("place").orderBy(F.desc(F.round("jaccard", 9)), key)
+        d = d.select("place", "s1", "s2", "q", "jaccard", F.row_number().over(best).alias("rn")).where(F.col("rn") <= per_place)
+        top = materialize(d, "similar")
+        full = top.groupBy("place").count().where(F.col("count") >= per_place).select("place")
+        last = t == ROUNDS[-1]
+        settled = top if last else top.join(full, "place", "left_semi")
+        done = settled if done is None else done.unionByName(settled)
+        left = materialize(left.join(full, "place", "left_anti"), "unsettled")
+        if last or not left.limit(1).count():
+            break
+    return done.select("s1", "s2", F.col("q").cast("string").alias("id1"), F.col("place").cast("string").alias("id2"), "jaccard")

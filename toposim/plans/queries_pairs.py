@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from toposim.operators.gramjoin import similarity_join
+from toposim.operators.gramjoin import exact_copies, similarity_join
 from toposim.plans import views as V
 from toposim.plans.catalog import register, rnd
 
@@ -39,7 +39,7 @@ def q_gram_join(spark, sf_dir):
 def q_gram_copies(spark, sf_dir):
     """Rows whose gram set equals an earlier row's, with that row."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", "text")
-    _, copies = similarity_join(d, "doc_id", "text", GRAM_JOIN_T)
+    copies = exact_copies(d, "doc_id", "text")
     return copies.where(F.col("id") != F.col("rep"))
 
 
@@ -136,7 +136,7 @@ def q_region_filter(spark, sf_dir):
     return kept.where(only_alphabet(F.col("alternate_names"), "LATIN")).select("geonameid", "country_code")
 
 
-from toposim.operators.pairgen import hard_pairs  # noqa: E402
+from toposim.operators.pairgen import hard_pairs, similar_pairs  # noqa: E402
 
 _NAMES3_SQL = """list_sort(list_distinct(list_concat(
     list_filter(list_transform(string_split(coalesce(alternate_names, ''), ','), lambda x: trim(x)), lambda x: length(x) > 3),
@@ -174,3 +174,11 @@ def q_hard_pairs(spark, sf_dir):
     out = hard_pairs(V.gazetteer(spark, sf_dir))
     return out.select("s1", "s2", F.col("status").cast("int").alias("status"), "id1", "id2", "alphabet1",
                       "alphabet2", "cc1", "cc2")
+
+
+@register("similar_pairs")
+def q_similar_pairs(spark, sf_dir):
+    """Per place the 2 most similar name pairs with other places.  (All
+    names against all names is too slow in SQL; tests compare by brute force.)"""
+    out = similar_pairs(V.gazetteer(spark, sf_dir))
+    return out.select("s1", "s2", "id1", "id2", rnd(F.col("jaccard")).alias("jaccard"))
