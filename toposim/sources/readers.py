@@ -86,13 +86,19 @@ def read_name_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frequent_terms(spark: SparkSession, path_glob: str, k: int = 400) -> DataFrame:
-    """A3: ``*gram*_{encoding}.csv`` lists (``gram<TAB>count``, header,
-    descending): the first k rows of each file, bucketed ``tokens`` /
-    ``chars`` by file name; returns ``(kind, term)`` with every term
-    and its reversal, distinct."""
+    """A3: ``*gram*_{encoding}.csv`` lists (``gram<TAB>count``, a header
+    line, descending): the first k rows of each list, bucketed ``tokens``
+    / ``chars`` by its name; returns ``(kind, term)`` with every term and
+    its reversal, distinct.  A list is a file, or a folder of parts read
+    by name.  Every task passes on k rows of a list at most (the rank's
+    limit is pushed below the shuffle)."""
     schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("count", T.LongType())])
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path_glob) \
-        .select("gram", "count", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
+    df = spark.read.schema(schema).option("sep", "\t").option("header", False).csv(path_glob)
+    df = df.where(~((F.col("gram") == "gram") & F.col("count").isNull()))  # header lines
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"^(.*gram[^/]*\.csv)/[^/]*$", 1)
+    df = df.select("gram", "count", F.when(folder != "", folder).otherwise(path).alias("file"),
+                   F.struct(path.alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("pos"))
     from pyspark.sql import Window
     w = Window.partitionBy("file").orderBy("pos")
     top = df.select("*", F.row_number().over(w).alias("rn")).where(F.col("rn") <= k)
@@ -121,9 +127,12 @@ OSM_ELEMENT = T.StructType([
 
 
 def read_osm_elements(spark: SparkSession, path: str) -> DataFrame:
-    """A5: Overpass-style JSON documents -> one row per element."""
-    schema = T.StructType([T.StructField("elements", T.ArrayType(OSM_ELEMENT))])
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("elements"))
+    """A5: Overpass-style JSON documents -> one row per element.
+
+    A document of any size is read by all tasks: see ``jsonranges``."""
+    from toposim.sources.jsonranges import elements
+
+    return elements(spark, path, "elements").select(F.from_json("value", OSM_ELEMENT).alias("e")).select("e.*")
 
 
 def read_features(spark: SparkSession, path: str, label: str = "class", index: str = "index",
