@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toposim.functions.geo import capped_distance, mercator
 from toposim.functions.address import numbers_diff, street_numbers
-from toposim.operators.metrics import binary_metrics, fold_summary, minmax_scale
+from toposim.operators.metrics import binary_metrics, fold_summary, grouped_auc, minmax_scale
 from toposim.operators.scoring import score_pairs
 from toposim.operators.splits import balanced_sample, stratified_kfold, stratified_shuffle_split
 from toposim.plans import sqlgen as Q
@@ -163,3 +163,25 @@ def q_spatial_scaled(spark, sf_dir):
     return s.select("idx", rnd(F.col("point_dist_raw")).alias("point_dist_raw"),
                     rnd(F.col("point_dist"), 9).alias("point_dist"),
                     rnd(F.col("street_numbers_diff"), 9).alias("street_numbers_diff"))
+
+
+_AUC_MEASURES = {"jaccard": Q.jaccard, "cosine": Q.cosine, "strike_a_match": Q.dice, "skipgram": Q.skipgram}
+
+
+@register("auc_by_fold", V.with_views(f"""
+, {_KFOLD_SQL_CORE},
+s AS ({" UNION ALL ".join(f"SELECT idx, Class AS y, '{m}' AS measure, round({fn('Name1', 'Name2')}, 9) AS s FROM pairs" for m, fn in _AUC_MEASURES.items())}),
+c AS (SELECT measure, fold, s, sum(y) AS p, sum(1 - y) AS n FROM s JOIN folds USING (idx) GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY measure, fold ORDER BY s) - n AS below FROM c)
+SELECT measure, fold, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg,
+       round(sum(p * (2 * below + n)) / (2.0 * sum(p) * sum(n)), 9) AS auc
+FROM w GROUP BY measure, fold""", "pairs"))
+def q_auc_by_fold(spark, sf_dir):
+    """Exact AUC of the gram measures' scores in every fold, in one pass."""
+    p = V.pairs(spark, sf_dir).select("idx", "Name1", "Name2", "Class")
+    f = stratified_kfold(p.select("idx", "Class"), "Class", "idx", 5)
+    s = score_pairs(p, "Name1", "Name2", list(_AUC_MEASURES)).join(f.select("idx", "fold"), "idx")
+    s = s.select("fold", "Class", *[F.round(m, 9).alias(m) for m in _AUC_MEASURES])
+    long = s.unpivot(["fold", "Class"], list(_AUC_MEASURES), "measure", "s")
+    a = grouped_auc(long, ["measure", "fold"], "Class", "s")
+    return a.select("measure", "fold", "n_pos", "n_neg", rnd(F.col("auc"), 9).alias("auc"))

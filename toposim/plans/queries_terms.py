@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from toposim.operators.terms import (STOP_WORDS, TERM_FILTER, TOKEN_REGEX, suffix_stem, term_counts,
+from toposim.operators.terms import (STOP_WORDS, TERM_FILTER, TOKEN_REGEX, certified_terms, suffix_stem, term_counts,
                                      top_terms)
 from toposim.plans import sqlgen as Q
 from toposim.plans import views as V
 from toposim.plans.catalog import register
+from toposim.session import checkpoint_dir
+from toposim.sources.readers import read_frequent_terms
+from toposim.sources.sinks import write_frequent_terms
 
 
 def _terms_sql(source_sql: str, stem_sql: str) -> str:
@@ -49,3 +54,22 @@ def q_top_terms(spark, sf_dir):
     """H3: the 400 most frequent document terms (the frequent-term list)."""
     d = V.table(spark, sf_dir, "documents").select("text")
     return top_terms(term_counts(d, ["text"], stem=suffix_stem))
+
+
+@register("certified_terms", "WITH dummy AS (SELECT 1)" + _terms_sql(_DOCS_SRC, _SUFFIX)
+          + '\nSELECT * FROM res ORDER BY "count" DESC, stem, gram LIMIT 400')
+def q_certified_terms(spark, sf_dir):
+    """H3 by mergeable summaries and a certified second scan."""
+    d = V.table(spark, sf_dir, "documents").select("text")
+    return certified_terms(d, ["text"], stem=suffix_stem)
+
+
+@register("term_list_files", V.with_views(_terms_sql(_NAMES_SRC, "term") + """
+, top AS (SELECT gram FROM res ORDER BY "count" DESC, stem, gram LIMIT 400)
+SELECT DISTINCT 'tokens' AS kind, term FROM (SELECT gram AS term FROM top UNION ALL SELECT reverse(gram) FROM top)""", "pairs"))
+def q_term_list_files(spark, sf_dir):
+    """K4 then A3: the list written in order by many tasks, its first 400 rows read back."""
+    p = V.pairs(spark, sf_dir).select("Name1", "Name2")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/toposim-{uuid.uuid4().hex}/gram_tokens_latin.csv"
+    write_frequent_terms(term_counts(p, ["Name1", "Name2"]), path)
+    return read_frequent_terms(spark, path).select("kind", "term")
