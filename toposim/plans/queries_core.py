@@ -178,37 +178,52 @@ def _nat_key_sql(t):
     return f"CASE WHEN regexp_matches({t}, '^[0-9]') THEN list_concat([''], {segs}) ELSE {segs} END"
 
 
+def _natural_sql(col: str) -> str:
+    return f"""array_to_string(list_transform(list_sort(list_transform(string_split({col}, ' '), lambda tok, i:
+         {{'k': {_nat_key_sql('tok')}, 'p': i, 't': tok}})), lambda s: s.t), ' ')"""
+
+
 @register("natural_sort", V.with_views(f"""
-, t AS (SELECT idx, string_split(Address1, ' ') AS a FROM pairs)
-SELECT idx, array_to_string(list_transform(list_sort(list_transform(a, lambda tok, i:
-         {{'k': {_nat_key_sql('tok')}, 'p': i, 't': tok}})), lambda s: s.t), ' ') AS sorted_address
-FROM t""", "pairs"))
+SELECT idx, {_natural_sql('Address1')} AS sorted_address, {_natural_sql('Address2')} AS sorted_address2,
+       {_natural_sql('lower(Name1)')} AS sorted_name1 FROM pairs""", "pairs"))
 def q_natural_sort(spark, sf_dir):
-    """Address tokens in natural (digits-as-numbers) order."""
-    p = V.pairs(spark, sf_dir).select("idx", "Address1")
-    return p.select("idx", T.simple_sort("Address1").alias("sorted_address"))
+    """Address and name tokens in natural (digits-as-numbers) order."""
+    p = V.pairs(spark, sf_dir).select("idx", "Address1", "Address2", F.lower("Name1").alias("n"))
+    return p.select("idx", T.simple_sort("Address1").alias("sorted_address"), T.simple_sort("Address2").alias("sorted_address2"),
+                    T.simple_sort("n").alias("sorted_name1"))
 
 
 # ---------------------------------------------------------------- F1 -------
 
 from toposim.functions.termsplit import special_terms  # noqa: E402
 
-_SPECIAL = ["economy", "small", "ring", "red", "ymonoce", "llams"]
+from toposim.plans.queries_terms import _NAMES_SRC, _terms_sql  # noqa: E402
 
 
-@register("special_terms", V.with_views(f"""
-, t AS (SELECT idx, lower(Name2) AS s FROM pairs),
-sp AS (SELECT idx, s, list_sort(list_filter(list_distinct(list_filter(regexp_split_to_array(trim(s), '\\s+'),
-          lambda x: x <> '')), lambda x: list_contains({Q.str_list(_SPECIAL)}, x))) AS spec FROM t),
-pat AS (SELECT idx, s, spec,
+def _special_sql(n: int) -> str:
+    return f"""
+t{n} AS (SELECT idx, lower(Name{n}) AS s FROM pairs),
+sp{n} AS (SELECT idx, s, list_sort(list_filter(list_distinct(list_filter(regexp_split_to_array(trim(s), '\\s+'),
+          lambda x: x <> '')), lambda x: list_contains(l, x))) AS spec FROM t{n}, often),
+pat{n} AS (SELECT idx, s, spec,
           array_to_string(list_transform(list_sort(list_transform(spec, lambda x: {{'n': -length(x), 'x': x}})),
-                          lambda e: e.x), '|') AS pattern FROM sp)
-SELECT idx, array_to_string(spec, '|') AS special,
-       CASE WHEN len(spec) > 0 THEN regexp_replace(s, pattern, ' ', 'g') ELSE s END AS remainder
-FROM pat""", "pairs"))
+                          lambda e: e.x), '|') AS pattern FROM sp{n}),
+o{n} AS (SELECT idx, array_to_string(spec, '|') AS special{n},
+       CASE WHEN len(spec) > 0 THEN regexp_replace(s, pattern, ' ', 'g') ELSE s END AS remainder{n} FROM pat{n})"""
+
+
+@register("special_terms", V.with_views(_terms_sql(_NAMES_SRC, "term") + f"""
+, top AS (SELECT gram FROM res ORDER BY "count" DESC, stem, gram LIMIT 400),
+often AS (SELECT list(term) AS l FROM (SELECT gram AS term FROM top UNION SELECT reverse(gram) FROM top)),
+{_special_sql(1)}, {_special_sql(2)}
+SELECT * FROM o1 JOIN o2 USING (idx)""", "pairs"))
 def q_special_terms(spark, sf_dir):
-    """frequent ('special') terms of a name and the name with them cut
-    out (unanchored, longest first)."""
-    p = V.pairs(spark, sf_dir).select("idx", F.lower("Name2").alias("s"))
-    spec, cut = special_terms(F.col("s"), _SPECIAL)
-    return p.select("idx", F.array_join(spec, "|").alias("special"), cut.alias("remainder"))
+    """frequent ('special') terms of both names, by the list mined from
+    them, and the names with them cut out (unanchored, longest first)."""
+    often = V.fixture_frequent_terms(spark, sf_dir)
+    p = V.pairs(spark, sf_dir).select("idx", F.lower("Name1").alias("s1"), F.lower("Name2").alias("s2"))
+    out = []
+    for n in (1, 2):
+        spec, cut = special_terms(F.col(f"s{n}"), often)
+        out += [F.array_join(spec, "|").alias(f"special{n}"), cut.alias(f"remainder{n}")]
+    return p.select("idx", *out)

@@ -35,10 +35,24 @@ def _lat(k):
     return (F.col(k) * 104729 % 1600).cast("double") / 10 - 80
 
 
+#: Digits of a number become the letters of a made-up word.
+_LETTERS = "abdegilnor"
+
+
+def _word(n: int, m: int):
+    """A word that about one place in ``m`` has: names need rare words beside the frequent ones."""
+    return F.translate(F.lpad((F.col("p_partkey") * n % m).cast("string"), 5, "0"), "0123456789", _LETTERS)
+
+
+def _words():
+    return _word(7919, 2003), _word(104729, 99991)
+
+
 def places_a(part: DataFrame) -> DataFrame:
+    w1, w2 = _words()
     return part.select(
         F.col("p_partkey").alias("id"),
-        F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("name"),
+        F.concat_ws(" ", F.col("p_name"), w1, F.lower("p_type"), w2).alias("name"),
         F.concat(F.col("p_brand"), F.lit(" street "), F.col("p_size").cast("string"), F.lit("-"),
                  (F.col("p_size") + 2).cast("string")).alias("address"),
         _lon("p_partkey").alias("lon"), _lat("p_partkey").alias("lat"))
@@ -46,12 +60,12 @@ def places_a(part: DataFrame) -> DataFrame:
 
 def places_b(part: DataFrame) -> DataFrame:
     v = F.col("p_partkey") % 4
-    name = (F.when(v == 0, F.concat(F.lower("p_type"), F.lit(" "), F.col("p_name")))
-            .when(v == 1, F.concat(F.upper("p_name"), F.lit(" "), F.lower("p_type")))
-            .when(v == 2, F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit(" "),
-                                   F.lower("p_type")))
-            .otherwise(F.concat(F.translate(F.col("p_name"), "aeo", "àéö"), F.lit(" "),
-                                F.substring(F.lower("p_type"), 1, 3), F.lit("."))))
+    w1, w2 = _words()
+    name = (F.when(v == 0, F.concat_ws(" ", F.lower("p_type"), w2, F.col("p_name"), w1))
+            .when(v == 1, F.concat_ws(" ", F.upper("p_name"), w1, F.lower("p_type"), w2))
+            .when(v == 2, F.concat_ws(" ", F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), w1, F.lower("p_type")))
+            .otherwise(F.concat_ws(" ", F.translate(F.col("p_name"), "aeo", "àéö"), F.substring(w1, 2, 4),
+                                   F.concat(F.substring(F.lower("p_type"), 1, 3), F.lit(".")), w2)))
     return part.select(
         F.col("p_partkey").alias("id"), name.alias("name"),
         F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand"), F.lit(" st.")).alias("address"),
@@ -134,21 +148,27 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- DuckDB twins ---------------------------------------------------------
 
-PLACES_A_SQL = """
-SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS name,
+def _word_sql(n: int, m: int) -> str:
+    return f"translate(lpad(CAST(p_partkey * {n} % {m} AS VARCHAR), 5, '0'), '0123456789', '{_LETTERS}')"
+
+
+_W1, _W2 = _word_sql(7919, 2003), _word_sql(104729, 99991)
+
+PLACES_A_SQL = f"""
+SELECT p_partkey AS id, p_name || ' ' || {_W1} || ' ' || lower(p_type) || ' ' || {_W2} AS name,
        p_brand || ' street ' || CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 2 AS VARCHAR) AS address,
        CAST((p_partkey * 7919) % 3600 AS DOUBLE) / 10 - 180 AS lon,
        CAST((p_partkey * 104729) % 1600 AS DOUBLE) / 10 - 80 AS lat,
        p_size
 FROM part"""
 
-PLACES_B_SQL = """
+PLACES_B_SQL = f"""
 SELECT p_partkey AS id,
        CASE p_partkey % 4
-         WHEN 0 THEN lower(p_type) || ' ' || p_name
-         WHEN 1 THEN upper(p_name) || ' ' || lower(p_type)
-         WHEN 2 THEN replace(p_name, ' ', '-') || ' ' || lower(p_type)
-         ELSE translate(p_name, 'aeo', 'àéö') || ' ' || substr(lower(p_type), 1, 3) || '.' END AS name,
+         WHEN 0 THEN lower(p_type) || ' ' || {_W2} || ' ' || p_name || ' ' || {_W1}
+         WHEN 1 THEN upper(p_name) || ' ' || {_W1} || ' ' || lower(p_type) || ' ' || {_W2}
+         WHEN 2 THEN replace(p_name, ' ', '-') || ' ' || {_W1} || ' ' || lower(p_type)
+         ELSE translate(p_name, 'aeo', 'àéö') || ' ' || substr({_W1}, 2, 4) || ' ' || substr(lower(p_type), 1, 3) || '. ' || {_W2} END AS name,
        CAST(p_size AS VARCHAR) || ' ' || p_brand || ' st.' AS address,
        CAST((p_partkey * 7919) % 3600 AS DOUBLE) / 10 - 180 + CAST(p_size % 5 AS DOUBLE) / 1000.0 AS lon,
        CAST((p_partkey * 104729) % 1600 AS DOUBLE) / 10 - 80 + CAST(p_size % 3 AS DOUBLE) / 1000.0 AS lat
@@ -223,12 +243,7 @@ SELECT p_partkey AS geonameid, p_name || ' ' || lower(p_type) AS name, p_name AS
 FROM part"""
 
 
-# Frequent-term list size used with the fixture: its names draw on a few
-# dozen words, so the default 400 would make every token "special".
-FIXTURE_FREQ_K = 10
-
-
-def fixture_frequent_terms(spark, sf_dir, k: int = FIXTURE_FREQ_K) -> list[str]:
+def fixture_frequent_terms(spark, sf_dir, k: int = 400) -> list[str]:
     """Frequent terms mined from the pair names (J1 -> A3).  The set holds
     at most 2k strings, so it is brought to the driver as a literal."""
     from toposim.operators.terms import frequent_set, term_counts
