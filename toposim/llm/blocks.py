@@ -78,23 +78,26 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, links = 0, 0
+    said = False  # whether the block has more than white space so far
     home: tuple = ()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, said
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 out.append(Block(text, home, linked))
             parts.clear()
-        linked = 0
+        linked, said = 0, False
 
     def say(s: str) -> None:
-        nonlocal linked, home
+        nonlocal linked, home, said
         if not s:
             return
-        if not parts or (s.strip() and not "".join(parts).strip()):
+        words = bool(s.strip())
+        if not parts or (words and not said):
             home = tuple(stack)
+        said = said or words
         parts.append(s)
         if links:
             linked += len(s)

@@ -8,9 +8,11 @@ find-first-set.  A bucket is drained at once: positions whose pair has
 changed meanwhile are stale and skipped, the leftmost of each pre-token
 is merged (in numpy, or one by one where they are few), and the others go
 back, since a merge may have made a pair of lower rank that goes first.
-A push or pop costs the same at any rank and list length, so one very long
-pre-token costs no more per byte than many short ones.  A pre-token that
-is itself in the vocabulary is one id, as in tiktoken.
+A push or pop costs the same at any rank.  A pre-token of over ``LONG``
+bytes is merged by itself: its buckets are heaps, drained in order until a
+merge makes a pair of lower rank, so a merge costs O(log n) and a million
+equal letters a few seconds.  A pre-token that is itself in the vocabulary
+is one id, as in tiktoken.
 
 Defined cases: a null or empty text has no ids and decodes to nothing;
 repeated rows are encoded each; an empty table gives no rows; other
@@ -20,6 +22,7 @@ columns are kept.  A file path must be readable on every executor.
 from __future__ import annotations
 
 import base64
+from heapq import heappop, heappush
 from typing import Iterator
 
 import numpy as np
@@ -71,11 +74,19 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+    def put(self, rank: int, bucket: list) -> None:
+        """Gives back what is left of a popped bucket."""
+        self.push(rank, 0)
+        self.buckets[rank] = bucket
+
+
 class Vocabulary:
     """Ranks of byte strings, and of all pairs of ids that may merge."""
 
     #: Up to so many positions a bucket is drained one by one.
     FEW = 6
+    #: Pre-tokens of more bytes are merged by themselves, their buckets kept as heaps.
+    LONG = 4096
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -108,9 +119,63 @@ class Vocabulary:
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each pre-token, as little-endian unsigned 32-bit bytes."""
         whole = [self.ranks.get(w) for w in words]
-        open_words = [w for w, r in zip(words, whole) if r is None]
+        open_words = [w for w, r in zip(words, whole) if r is None and len(w) <= self.LONG]
         merged = iter(self._merge(open_words)) if open_words else iter(())
-        return [next(merged) if r is None else r.to_bytes(4, "little") for r in whole]
+        return [r.to_bytes(4, "little") if r is not None else self._merge_long(w) if len(w) > self.LONG else next(merged)
+                for w, r in zip(words, whole)]
+
+    def _merge_long(self, raw: bytes) -> bytes:
+        """One long pre-token.  A bucket is a heap of positions: it is drained
+        in order until a merge makes a pair of lower rank, and the rest is
+        given back, so every merge costs O(log n)."""
+        ids = self.single[np.frombuffer(raw, np.uint8)]
+        n = len(ids)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        nxt[-1] = -1
+        rank = np.full(n, -1, np.int32)
+        rank[:-1] = self.of_pairs(ids[:-1], ids[1:])
+        queue = RankQueue(self.size)
+        by = np.argsort(rank, kind="stable")
+        by = by[np.searchsorted(rank[by], 0):]
+        cuts = np.flatnonzero(np.diff(rank[by])) + 1
+        for pos in np.split(by, cuts) if len(by) else ():
+            queue.put(int(rank[pos[0]]), pos.tolist())  # in order, so a heap
+        v_ids, v_nxt, v_prv, v_rank = map(memoryview, (ids, nxt, prv, rank))
+        get, size, buckets = self.pairs.get, self.size, queue.buckets
+
+        def add(r: int, a: int) -> None:
+            b = buckets.get(r)
+            if b is None:
+                queue.push(r, a)
+            else:
+                heappush(b, a)
+
+        while (got := queue.pop()) is not None:
+            r, heap = got
+            while heap:
+                a = heappop(heap)
+                if v_rank[a] != r:
+                    continue  # stale
+                b = v_nxt[a]
+                c = v_nxt[b]
+                v_ids[a] = r
+                v_ids[b] = v_rank[b] = v_rank[a] = -1
+                v_nxt[a] = c
+                x = y = -1
+                if c >= 0:
+                    v_prv[c] = a
+                    v_rank[a] = x = get(r * size + v_ids[c], -1)
+                    if x >= 0:
+                        add(x, a)
+                p = v_prv[a]
+                if p >= 0:
+                    v_rank[p] = y = get(v_ids[p] * size + r, -1)
+                    if y >= 0:
+                        add(y, p)
+                if heap and (0 <= x < r or 0 <= y < r):
+                    queue.put(r, heap)
+                    break
+        return ids[ids >= 0].astype("<u4").tobytes()
 
     def _merge(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
