@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
             yield pd.DataFrame(rows, columns=["toxic", "a", "b", "c"])
 
     # at most train_docs rows of four numbers
-    seen = train.mapInPandas(inputs, "toxic int, a double, b double, c double").orderBy("toxic", "a", "b", "c").toPandas()
+    seen = train.mapInPandas(inputs, "toxic int, a double, b double, c double").toPandas().sort_values(["toxic", "a", "b", "c"])
     model.weights = _logistic(seen[["a", "b", "c"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
