@@ -3,6 +3,8 @@ these are checked rows-only here and by unit tests."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from toposim.plans import views as V
@@ -10,6 +12,7 @@ from toposim.plans.catalog import register, rnd
 from toposim.plans.features import build_features, feature_names
 from toposim.plans.models import evaluate, fit, importances, tune
 from toposim.plans.views import fixture_frequent_terms
+from toposim.session import checkpoint_dir
 
 
 _FEATURES: dict = {}
@@ -74,3 +77,15 @@ def q_eval_pre_split(spark, sf_dir):
     j = f.join(folds, "index")
     train, test = j.where("fold < 4").drop("fold"), j.where("fold = 4").drop("fold")
     return evaluate_pre_split(train, test, feature_names("lgm"), ["XGBoost", "DecisionTree"])
+
+
+@register("svm_predictions")
+def q_svm_predictions(spark, sf_dir):
+    """M3/M7 with K2 and K3: a linear support vector machine on one
+    stratified split, its test predictions with calibrated probabilities
+    and its result row written, the predictions read back."""
+    f = fixture_features(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/toposim-{uuid.uuid4().hex}"
+    evaluate(f, feature_names("lgm"), ["SVM"], n_splits=1, predictions_path=f"{base}/predictions", results_path=f"{base}/results")
+    p = spark.read.parquet(f"{base}/predictions")
+    return p.select("index", rnd(F.col("prob_class_0")).alias("prob_class_0"), rnd(F.col("prob_class_1")).alias("prob_class_1"), "pred_class", "class")
