@@ -3,11 +3,11 @@ measure (F5, F9, H6, G10).
 
 F9 — for every pair, measure and split threshold: the three list scores
 with their token and character lengths — is built once (all splits in
-one split stage, all list scores in one scoring stage), exploded to a
-long table row-locally, and the whole grid is evaluated in a single
-``groupBy(measure, split)``: the 27 weighted scores are columns and the
-27 x 13 (weights x thresholds) hit counts are conditional sums.  No row
-is ever multiplied by the grid, and no join is needed for it.
+one split stage, all list scores in one scoring stage) and exploded to a
+long table row-locally.  Each of its rows meets the 27 weightings, gives
+the number of thresholds its score reaches, and is counted by (measure,
+split, weighting, that number) with map-side combining; the hits of all
+27 x 13 cells are sums over that small table.  No join is needed.
 """
 
 from __future__ import annotations
