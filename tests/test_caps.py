@@ -29,6 +29,29 @@ def test_more_scripts_and_letters(spark):
     assert spark.createDataFrame([("が ế",)], "s string").select(T.strip_accents("s")).first()[0] == "か e"
 
 
+def test_names_of_rare_scripts(spark):
+    """Every letter's word is its name's first word, where no listed script claims the letter."""
+    import unicodedata
+    rows = [(chr(0x1401), "CANADIAN"), (chr(0x1720), "HANUNOO"), (chr(0xA90A), "KAYAH"), (chr(0x10400), "DESERET"),
+            (chr(0x1E900) + "7", "ADLAM"), ("A" + chr(0x1401), "LATIN"), ("\u00a7 7", "UND"), ("", "UND")]
+    assert all(unicodedata.name(s[0]).split()[0] == w for s, w in rows[:5])
+    df = spark.createDataFrame(rows, "s string, want string")
+    assert all(r.got == r.want for r in df.select("want", T.detect_alphabet("s").alias("got")).collect())
+    got = df.select(T.only_alphabet("s", "canadian").alias("o"), T.any_alphabet("s", "canadian").alias("a"), T.any_alphabet("s", "latin").alias("l")).collect()
+    assert [r.o for r in got] == [True, False, False, False, False, False, True, True]
+    assert [r.a for r in got] == [True, False, False, False, False, True, False, False] and [r.l for r in got].index(True) == 5
+
+
+def test_streets_that_meet_a_box(spark):
+    from toposim.operators.osm import streets
+    lines = {1: [(0, 0), (1, 1)], 2: [(-5, 5), (15, 5)], 3: [(-5, 8), (4, 20)], 4: [(10, 10), (20, 20)], 5: [(-1, 8), (3, 12)],
+             6: [(-2, 9), (1, 12)], 7: [(-3, -3), (-1, 4), (-1, 9)], 8: [(5, -9), (5, 30)], 9: [(30, 30), (30, 30)], 10: [(3, 3)]}
+    rows = [("way", k, [{"lon": float(x), "lat": float(y)} for x, y in pts], {"highway": "path"}) for k, pts in lines.items()]
+    el = spark.createDataFrame(rows, "type string, id long, geometry array<struct<lat: double, lon: double>>, tags map<string, string>")
+    assert sorted(r.id for r in streets(el, (0.0, 0.0, 10.0, 10.0)).collect()) == [1, 2, 4, 5, 8]
+    assert streets(el).count() == 9
+
+
 def test_splits_of_string_ids(spark):
     rows = [(f"id{i:04d}", i % 3 == 0) for i in range(300)]
     df = spark.createDataFrame(rows, "id string, label boolean")

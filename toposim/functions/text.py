@@ -119,7 +119,7 @@ def no_space(s) -> Column:
 
 
 # --- alphabets (B9, B10) --------------------------------------------------
-# Scripts tested, in priority order (Cyrillic first).
+# Scripts tested first, in priority order (Cyrillic first).
 SCRIPTS = ["CYRILLIC", "LATIN", "GREEK", "ARABIC", "HEBREW", "ARMENIAN", "GEORGIAN",
            "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "BENGALI", "GURMUKHI",
            "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "LAO", "TIBETAN",
@@ -128,21 +128,48 @@ SCRIPTS = ["CYRILLIC", "LATIN", "GREEK", "ARABIC", "HEBREW", "ARMENIAN", "GEORGI
 _SCRIPT_CLASS = {s: r"\p{Is" + ("Han" if s == "CJK" else s.capitalize()) + "}" for s in SCRIPTS}
 
 
+def _named_classes() -> dict[str, str]:
+    """Letters of no script above, by the first word of their Unicode names:
+    word -> character class, in order of the word's first letter."""
+    spans: dict[str, list[list[int]]] = {}
+    for cp in range(0x80, 0x110000):
+        if chr(cp).isalpha():
+            word = unicodedata.name(chr(cp), "").split(" ")[0]
+            mine = spans.setdefault(word, [])
+            if mine and mine[-1][1] == cp - 1:
+                mine[-1][1] = cp
+            else:
+                mine.append([cp, cp])
+    return {w: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in r) + "]" for w, r in spans.items() if w and w not in SCRIPTS}
+
+
+NAMED = _named_classes()
+
+
 def detect_alphabet(s) -> Column:
-    """CYRILLIC wins, else the first script present, else UND."""
+    """CYRILLIC wins, else the first script present, else the first word
+    of a letter's Unicode name (for letters of rarer scripts), else UND."""
     expr = None
     for name in SCRIPTS:
         cond = c(s).rlike(r"(?=\p{L})" + _SCRIPT_CLASS[name])
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr.otherwise(F.lit("UND"))
+    # one constant array; only texts without a letter of the scripts above, and beyond ASCII, look at it
+    rare = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("letters")) for w, k in NAMED.items()])
+    found = F.get(F.filter(rare, lambda x: F.rlike(c(s), x["letters"])), F.lit(0))["word"]
+    return expr.when(c(s).rlike(r"[^\x00-\x7F]"), F.coalesce(found, F.lit("UND"))).otherwise(F.lit("UND"))
+
+
+def _letters_of(alphabet: str) -> str:
+    name = alphabet.upper()
+    return _SCRIPT_CLASS[name] if name in _SCRIPT_CLASS else NAMED[name]
 
 
 def only_alphabet(s, alphabet: str) -> Column:
     """B10 (only=True): every letter belongs to ``alphabet``."""
-    cls = _SCRIPT_CLASS[alphabet.upper()]
+    cls = _letters_of(alphabet)
     return ~c(s).rlike(r"[\p{L}&&[^" + cls + "]]")
 
 
 def any_alphabet(s, alphabet: str) -> Column:
     """B10 (only=False): some letter belongs to ``alphabet``."""
-    return c(s).rlike(r"(?=\p{L})" + _SCRIPT_CLASS[alphabet.upper()])
+    return c(s).rlike(r"(?=\p{L})" + _letters_of(alphabet))

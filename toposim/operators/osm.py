@@ -15,12 +15,28 @@ POI_KEYS = ["amenity", "shop", "building", "leisure", "sport", "historic", "tour
 WAY_POI_KEYS = [k for k in POI_KEYS if k != "building"]
 
 
-def streets(elements: DataFrame) -> DataFrame:
+def _meets(p, q, box):
+    """Whether the segment p-q (structs x, y) meets the closed ``box`` (south,
+    west, north, east): their ranges overlap, and the box's corners do not
+    all lie on one side of the line."""
+    s, w, n, e = map(F.lit, box)
+    side = [(q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]) for x, y in ((w, s), (e, s), (e, n), (w, n))]
+    overlap = (F.least(p["x"], q["x"]) <= e) & (F.greatest(p["x"], q["x"]) >= w) & (F.least(p["y"], q["y"]) <= n) & (F.greatest(p["y"], q["y"]) >= s)
+    return overlap & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
+
+
+def streets(elements: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
     """``highway`` ways as lines ``(id, geometry array<struct<x,y>>)``;
-    lines with fewer than two points are dropped."""
+    lines with fewer than two points are dropped.  With ``bbox = (south,
+    west, north, east)`` only lines that meet the box, a line that crosses
+    it without a point inside included."""
     w = elements.where((F.col("type") == "way") & F.col("tags").getItem("highway").isNotNull())
     line = F.transform("geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
-    return w.select("id", line.alias("geometry")).where(F.size("geometry") >= 2)
+    lines = w.select("id", line.alias("geometry")).where(F.size("geometry") >= 2)
+    if bbox is None:
+        return lines
+    legs = F.arrays_zip(F.slice("geometry", F.lit(1), F.size("geometry") - 1).alias("p"), F.slice("geometry", F.lit(2), F.size("geometry") - 1).alias("q"))
+    return lines.where(F.exists(legs, lambda leg: _meets(leg["p"], leg["q"], bbox)))
 
 
 def pois(elements: DataFrame) -> DataFrame:

@@ -113,6 +113,50 @@ def q_token_scores(spark, sf_dir):
                     rnd(F.col("soft_jaccard")).alias("soft_jaccard"))
 
 
+# ------------------------------------------------------------ E3, D5, D7 ----
+
+def _norm_sql(s):
+    return f"string_split(replace(strip_accents(lower({s})), '-', ' '), ' ')"
+
+
+def _dots_sql(a, b, other_len):
+    start = f"[{{'cur': t, 'n': {other_len}}}]"
+    after = f"list_transform({b}, lambda y: {{'cur': y, 'n': length(y)}})"
+    step = "lambda acc, y: CASE WHEN starts_with(y.cur, replace(acc.cur, '.', '')) AND y.n < acc.n THEN y ELSE acc END"
+    return f"list_transform({a}, lambda t: CASE WHEN t = '.' THEN list_reduce(list_concat({start}, {after}), {step}).cur ELSE t END)"
+
+
+def _sorted_sql(s):
+    return f"array_to_string(list_sort(string_split({s}, ' ')), ' ')"
+
+
+# names, some with tokens that are abbreviation dots
+_DOTTED_SQL = """
+, n AS (SELECT idx, CASE WHEN idx % 5 = 0 THEN Name1 || ' .' WHEN idx % 5 = 1 THEN '. ' || Name1 ELSE Name1 END AS s1,
+               CASE WHEN idx % 7 = 0 THEN replace(Name2, ' ', ' . ') ELSE Name2 END AS s2 FROM pairs)"""
+
+_DAVIES_SQL = V.with_views(f"""{_DOTTED_SQL},
+a AS (SELECT *, {_norm_sql('s1')} AS a0, {_norm_sql('s2')} AS b0 FROM n),
+b AS (SELECT *, {_dots_sql('a0', 'b0', 'length(s2)')} AS a1 FROM a),
+d AS (SELECT *, {_dots_sql('b0', 'a1', 'length(s1)')} AS b1 FROM b),
+e AS (SELECT idx, s1, s2, {_sorted_sql('s1')} AS o1, {_sorted_sql('s2')} AS o2, reverse(s1) AS r1, reverse(s2) AS r2,
+             list_distinct(a1) AS ta, list_distinct(b1) AS tb FROM d),
+v AS (SELECT *, {Q.jw_from_jaro('o1', 'o2')} AS sw, {_soft_sql('ta', 'tb')} AS sj FROM e)
+SELECT idx, {Q.r('sw')} AS sorted_winkler, {Q.r('(sw + sj) / 2.0')} AS davies, {Q.r(Q.jw_from_jaro('r1', 'r2'))} AS jaro_winkler_reversed
+FROM v""", "pairs")
+
+
+@register("davies_scores", _DAVIES_SQL)
+def q_davies_scores(spark, sf_dir):
+    """E3 with its abbreviation step (B3's accents, D5), and D7."""
+    i, a, b = F.col("idx"), F.col("Name1"), F.col("Name2")
+    s1 = F.when(i % 5 == 0, F.concat(a, F.lit(" ."))).when(i % 5 == 1, F.concat(F.lit(". "), a)).otherwise(a)
+    s2 = F.when(i % 7 == 0, F.replace(b, F.lit(" "), F.lit(" . "))).otherwise(b)
+    ms = ["sorted_winkler", "davies", "jaro_winkler_reversed"]
+    s = score_pairs(V.pairs(spark, sf_dir).select("idx", s1.alias("s1"), s2.alias("s2")), "s1", "s2", ms)
+    return s.select("idx", *[rnd(F.col(m)).alias(m) for m in ms])
+
+
 # ---------------------------------------------------------------- B7/B8 ----
 
 from toposim.functions.address import HOUSE_NUMBER as _ADDR_RE  # noqa: E402
@@ -152,8 +196,8 @@ _canon_sql = Q.canon
 
 
 _ALPHA_SQL = " ".join(
-    f"WHEN regexp_matches(text, '\\p{{{'Han' if s == 'CJK' else s.capitalize()}}}') THEN '{s}'"
-    for s in T.SCRIPTS)
+    [f"WHEN regexp_matches(text, '\\p{{{'Han' if s == 'CJK' else s.capitalize()}}}') THEN '{s}'" for s in T.SCRIPTS]
+    + [f"WHEN regexp_matches(text, '{k}') THEN '{w}'" for w, k in T.NAMED.items()])
 
 
 @register("normalize_text", f"""

@@ -104,3 +104,28 @@ def q_osm_filter(spark, sf_dir):
     """B19 with a bounding box (south, west, north, east)."""
     f = poi_filter(elements(spark, sf_dir), (-40.0, -120.0, 60.0, 150.0))
     return f.select("id", "type")
+
+
+_BOX = (-40.0, -120.0, 60.0, 150.0)
+
+
+@register("osm_streets_box", f"""
+WITH el AS ({ELEMENTS_SQL}),
+leg AS (SELECT id, len(geometry) AS n, unnest(list_transform(range(1, len(geometry)), lambda i:
+          {{'x': geometry[i].lon, 'y': geometry[i].lat, 'dx': geometry[i + 1].lon - geometry[i].lon,
+            'dy': geometry[i + 1].lat - geometry[i].lat}})) AS g
+        FROM el WHERE type = 'way' AND tags['highway'] IS NOT NULL AND len(geometry) >= 2),
+clip AS (SELECT id, n,
+  CASE WHEN g.dx = 0 THEN CASE WHEN g.x BETWEEN {_BOX[1]} AND {_BOX[3]} THEN 0 ELSE 2 END
+       ELSE least(({_BOX[1]} - g.x) / g.dx, ({_BOX[3]} - g.x) / g.dx) END AS x0,
+  CASE WHEN g.dx = 0 THEN 1 ELSE greatest(({_BOX[1]} - g.x) / g.dx, ({_BOX[3]} - g.x) / g.dx) END AS x1,
+  CASE WHEN g.dy = 0 THEN CASE WHEN g.y BETWEEN {_BOX[0]} AND {_BOX[2]} THEN 0 ELSE 2 END
+       ELSE least(({_BOX[0]} - g.y) / g.dy, ({_BOX[2]} - g.y) / g.dy) END AS y0,
+  CASE WHEN g.dy = 0 THEN 1 ELSE greatest(({_BOX[0]} - g.y) / g.dy, ({_BOX[2]} - g.y) / g.dy) END AS y1
+  FROM leg)
+SELECT id, CAST(max(n) AS INTEGER) AS n_points FROM clip GROUP BY id
+HAVING bool_or(greatest(x0, y0, 0) <= least(x1, y1, 1))""")
+def q_osm_streets_box(spark, sf_dir):
+    """Streets that meet a bounding box."""
+    s = streets(elements(spark, sf_dir), _BOX)
+    return s.select("id", F.size("geometry").cast("int").alias("n_points"))
