@@ -157,6 +157,55 @@ def q_davies_scores(spark, sf_dir):
     return s.select("idx", *[rnd(F.col(m)).alias(m) for m in ms])
 
 
+# ---------------------------------------------------------- D6, D7, N2 ----
+
+_TUNED = f"""{Q.tuned_ctes('pairs', 'idx', 'Name1', 'Name2', 'tn')},
+rv AS (SELECT idx, reverse(Name1) AS s1, reverse(Name2) AS s2 FROM pairs),
+{Q.tuned_ctes('rv', 'idx', 's1', 's2', 'tr')}"""
+
+
+@register("tuned_scores", V.with_views(f"""
+, {_TUNED}
+SELECT idx, {Q.r('tn.score')} AS tuned_jaro_winkler, {Q.r('tr.score')} AS tuned_jaro_winkler_reversed
+FROM tn JOIN tr USING (idx)""", "pairs"))
+def q_tuned_scores(spark, sf_dir):
+    """D6 and its reversal."""
+    ms = ["tuned_jaro_winkler", "tuned_jaro_winkler_reversed"]
+    s = score_pairs(V.pairs(spark, sf_dir).select("idx", "Name1", "Name2"), "Name1", "Name2", ms)
+    return s.select("idx", *[rnd(F.col(m)).alias(m) for m in ms])
+
+
+def threshold_sql(scores: str) -> str:
+    """CTEs and SELECT: each measure's best threshold over ``scores`` (Class, a column per measure)."""
+    return f"""long AS (UNPIVOT {scores} ON COLUMNS(* EXCLUDE (Class)) INTO NAME measure VALUE score),
+th AS (SELECT CAST(i AS DOUBLE) / 100.0 AS threshold FROM range(30, 91, 5) r(i)),
+acc AS (SELECT measure, threshold,
+               CAST(sum(CASE WHEN (round(score, 9) >= threshold) = (Class = 1) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS accuracy
+        FROM long CROSS JOIN th GROUP BY measure, threshold)
+SELECT measure, threshold, round(accuracy, 9) AS accuracy FROM (
+  SELECT *, row_number() OVER (PARTITION BY measure ORDER BY accuracy DESC, threshold) AS rn FROM acc)
+WHERE rn = 1"""
+
+
+#: The twin of the threshold query on the 14 measures of raw names.
+BASIC_SQL = V.with_views(f"""
+, {Q.osa_ctes("pairs", "idx", "Name1", "Name2")}, {_TUNED},
+a AS (SELECT idx, {_norm_sql('Name1')} AS a0, {_norm_sql('Name2')} AS b0, length(Name1) AS l1, length(Name2) AS l2 FROM pairs),
+b AS (SELECT *, {_dots_sql('a0', 'b0', 'l2')} AS a1 FROM a),
+d AS (SELECT *, {_dots_sql('b0', 'a1', 'l1')} AS b1 FROM b),
+e AS (SELECT Class, idx, Name1, Name2, list_distinct(a1) AS ta, list_distinct(b1) AS tb, string_split(Name1, ' ') AS a, string_split(Name2, ' ') AS b,
+             osa_d, osa_n, tn.score AS tuned, tr.score AS tuned_r
+      FROM pairs JOIN d USING (idx) JOIN osa USING (idx) JOIN tn USING (idx) JOIN tr USING (idx)),
+f AS (SELECT *, {Q.jw_from_jaro(_sorted('Name1'), _sorted('Name2'))} AS sw FROM e),
+s AS (SELECT Class, {Q.osa_sim('f')} AS damerau_levenshtein, {Q.jaro('Name1', 'Name2')} AS jaro,
+  {Q.jw_from_jaro('Name1', 'Name2')} AS jaro_winkler, {Q.jw_from_jaro(_rev('Name1'), _rev('Name2'))} AS jaro_winkler_reversed,
+  sw AS sorted_winkler, {', '.join(f'{fn("Name1", "Name2")} AS {m}' for m, fn in _NATIVE_SQL.items())},
+  (({_me_aux('a', 'b')}) + ({_me_aux('b', 'a')})) / 2.0 AS monge_elkan, {_soft_sql('list_distinct(a)', 'list_distinct(b)')} AS soft_jaccard,
+  (sw + {_soft_sql('ta', 'tb')}) / 2.0 AS davies, tuned AS tuned_jaro_winkler, tuned_r AS tuned_jaro_winkler_reversed FROM f),
+s2 AS (SELECT Class, COLUMNS(* EXCLUDE (Class))::DOUBLE FROM s),
+{threshold_sql('s2')}""", "pairs", recursive=True)
+
+
 # ---------------------------------------------------------------- B7/B8 ----
 
 from toposim.functions.address import HOUSE_NUMBER as _ADDR_RE  # noqa: E402

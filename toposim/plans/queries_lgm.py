@@ -8,6 +8,7 @@ from toposim.functions.registry import in_group
 from toposim.functions.termsplit import align_pairs, lgm_scores
 from toposim.plans import views as V
 from toposim.plans.catalog import register, rnd
+from toposim.plans.queries_core import BASIC_SQL
 from toposim.plans.views import fixture_frequent_terms
 
 @register("lgm_sim")
@@ -37,7 +38,7 @@ def q_grid_params(spark, sf_dir):
                        "w_base", "w_mis", "w_special")
 
 
-@register("best_threshold_basic")
+@register("best_threshold_basic", BASIC_SQL)
 def q_best_basic(spark, sf_dir):
     """J2 (basic): best threshold for each of the 14 basic measures on the
     raw names."""

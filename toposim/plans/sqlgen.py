@@ -133,6 +133,39 @@ def osa_sim(cte: str = "osa") -> str:
     return f"(CASE WHEN {cte}.osa_n = 0 THEN 1.0 ELSE 1.0 - CAST({cte}.osa_d AS DOUBLE) / {cte}.osa_n END)"
 
 
+def tuned_ctes(src: str, key: str, a: str, b: str, name: str) -> str:
+    """CTE text giving ``name(key, score)``: the tuned Jaro-Winkler.
+
+    Characters are matched in the order of the first string, each with the
+    first free equal one in the window; a matched pair out of order costs
+    half.  The prefix is read up to four places, and after its first break
+    one inserted, deleted or replaced character is passed over (in this
+    order of preference) and one place more is read."""
+    def run(i: str, k: str, limit: str) -> str:
+        return (f"coalesce(list_min(list_filter(range(0, 7), lambda t: NOT ({i} + t < least({limit}, la) AND {k} + t < least({limit}, lb) "
+                f"AND a[{i} + t + 1] = b[{k} + t + 1]))), 7)")
+
+    def hit(i: str, k: str) -> str:
+        return f"({i} < la AND {k} < lb AND coalesce(a[{i} + 1] = b[{k} + 1], false))"
+
+    free = ("list_filter(range(greatest(1, z.i[1] - span), least(lb, z.i[1] + span) + 1), "
+            "lambda p: b[p] = a[z.i[1]] AND NOT list_contains(acc.j, p))[1]")
+    return f"""{name}_s AS (SELECT {key} AS k, string_split({a}, '') AS a, string_split({b}, '') AS b, length({a}) AS la, length({b}) AS lb FROM {src}),
+{name}_w AS (SELECT *, greatest(greatest(la, lb) // 2 - 1, 0) AS span, greatest(la, lb) AS longest FROM {name}_s),
+{name}_m AS (SELECT *, list_reduce(list_concat([{{'i': []::BIGINT[], 'j': []::BIGINT[]}}],
+    list_transform(range(1, la + 1), lambda q: {{'i': [q], 'j': []::BIGINT[]}})),
+    lambda acc, z: CASE WHEN {free} IS NULL THEN acc ELSE {{'i': list_append(acc.i, z.i[1]), 'j': list_append(acc.j, {free})}} END) AS g
+  FROM {name}_w),
+{name}_t AS (SELECT *, CAST(len(g.i) AS DOUBLE) AS m, len(list_filter(range(1, len(g.i) + 1), lambda p: a[g.i[p]] <> b[list_sort(g.j)[p]])) AS t FROM {name}_m),
+{name}_j AS (SELECT *, CASE WHEN m = 0 THEN 0.0 ELSE (m / la + m / lb + (m - t / 2.0) / m) / 3.0 END AS w, least(longest, 4) AS lim FROM {name}_t),
+{name}_p AS (SELECT *, {run('0', '0', 'lim')} AS r FROM {name}_j),
+{name}_e AS (SELECT *, CASE WHEN NOT (la > 4 AND lb > 4 AND r < lim) THEN 0 WHEN {hit('r', 'r + 1')} THEN 1 WHEN {hit('r + 1', 'r')} THEN 2
+    WHEN {hit('r + 1', 'r + 1')} THEN 3 ELSE 0 END AS edit FROM {name}_p),
+{name}_n AS (SELECT *, r + [0, 1, 2, 2][edit + 1] AS i2, r + [0, 2, 1, 2][edit + 1] AS k2, CASE WHEN edit > 0 THEN least(lim + 1, longest) ELSE lim END AS lim2 FROM {name}_e),
+{name}_q AS (SELECT *, CASE WHEN edit > 0 AND i2 < lim2 AND k2 < lim2 THEN {run('i2', 'k2', 'lim2')} ELSE 0 END AS more FROM {name}_n),
+{name} AS (SELECT k AS {key}, CASE WHEN w > 0.7 AND la > 3 AND lb > 3 THEN w + (least(i2, k2) + more) * 0.1 * (1.0 - w) ELSE w END AS score FROM {name}_q)"""
+
+
 def canon(s: str) -> str:
     """B2: lower -> strip accents -> transliteration -> delete punctuation."""
     from toposim.functions import text as T
