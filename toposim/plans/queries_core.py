@@ -187,23 +187,31 @@ SELECT measure, threshold, round(accuracy, 9) AS accuracy FROM (
 WHERE rn = 1"""
 
 
-#: The twin of the threshold query on the 14 measures of raw names.
-BASIC_SQL = V.with_views(f"""
-, {Q.osa_ctes("pairs", "idx", "Name1", "Name2")}, {_TUNED},
-a AS (SELECT idx, {_norm_sql('Name1')} AS a0, {_norm_sql('Name2')} AS b0, length(Name1) AS l1, length(Name2) AS l2 FROM pairs),
+def measures_sql(src: str) -> str:
+    """CTEs giving ``scores``: idx, Class and all 14 measures of the names s1 and s2 of ``src``."""
+    return f"""{Q.osa_ctes(src, "idx", "s1", "s2")}, {Q.tuned_ctes(src, 'idx', 's1', 's2', 'tn')},
+rv AS (SELECT idx, reverse(s1) AS r1, reverse(s2) AS r2 FROM {src}),
+{Q.tuned_ctes('rv', 'idx', 'r1', 'r2', 'tr')},
+a AS (SELECT idx, {_norm_sql('s1')} AS a0, {_norm_sql('s2')} AS b0, length(s1) AS l1, length(s2) AS l2 FROM {src}),
 b AS (SELECT *, {_dots_sql('a0', 'b0', 'l2')} AS a1 FROM a),
 d AS (SELECT *, {_dots_sql('b0', 'a1', 'l1')} AS b1 FROM b),
-e AS (SELECT Class, idx, Name1, Name2, list_distinct(a1) AS ta, list_distinct(b1) AS tb, string_split(Name1, ' ') AS a, string_split(Name2, ' ') AS b,
+e AS (SELECT Class, idx, s1, s2, list_distinct(a1) AS ta, list_distinct(b1) AS tb, string_split(s1, ' ') AS a, string_split(s2, ' ') AS b,
              osa_d, osa_n, tn.score AS tuned, tr.score AS tuned_r
-      FROM pairs JOIN d USING (idx) JOIN osa USING (idx) JOIN tn USING (idx) JOIN tr USING (idx)),
-f AS (SELECT *, {Q.jw_from_jaro(_sorted('Name1'), _sorted('Name2'))} AS sw FROM e),
-s AS (SELECT Class, {Q.osa_sim('f')} AS damerau_levenshtein, {Q.jaro('Name1', 'Name2')} AS jaro,
-  {Q.jw_from_jaro('Name1', 'Name2')} AS jaro_winkler, {Q.jw_from_jaro(_rev('Name1'), _rev('Name2'))} AS jaro_winkler_reversed,
-  sw AS sorted_winkler, {', '.join(f'{fn("Name1", "Name2")} AS {m}' for m, fn in _NATIVE_SQL.items())},
+      FROM {src} JOIN d USING (idx) JOIN osa USING (idx) JOIN tn USING (idx) JOIN tr USING (idx)),
+f AS (SELECT *, {Q.jw_from_jaro(_sorted('s1'), _sorted('s2'))} AS sw FROM e),
+s AS (SELECT idx, Class, {Q.osa_sim('f')} AS damerau_levenshtein, {Q.jaro('s1', 's2')} AS jaro,
+  {Q.jw_from_jaro('s1', 's2')} AS jaro_winkler, {Q.jw_from_jaro(_rev('s1'), _rev('s2'))} AS jaro_winkler_reversed,
+  sw AS sorted_winkler, {', '.join(f'{fn("s1", "s2")} AS {m}' for m, fn in _NATIVE_SQL.items())},
   (({_me_aux('a', 'b')}) + ({_me_aux('b', 'a')})) / 2.0 AS monge_elkan, {_soft_sql('list_distinct(a)', 'list_distinct(b)')} AS soft_jaccard,
   (sw + {_soft_sql('ta', 'tb')}) / 2.0 AS davies, tuned AS tuned_jaro_winkler, tuned_r AS tuned_jaro_winkler_reversed FROM f),
-s2 AS (SELECT Class, COLUMNS(* EXCLUDE (Class))::DOUBLE FROM s),
-{threshold_sql('s2')}""", "pairs", recursive=True)
+scores AS (SELECT idx, Class, COLUMNS(* EXCLUDE (idx, Class))::DOUBLE FROM s)"""
+
+
+#: The twin of the threshold query on the 14 measures of raw names.
+BASIC_SQL = V.with_views(f"""
+, src AS (SELECT idx, Class, Name1 AS s1, Name2 AS s2 FROM pairs),
+{measures_sql('src')}, bare AS (SELECT * EXCLUDE (idx) FROM scores),
+{threshold_sql('bare')}""", "pairs", recursive=True)
 
 
 # ---------------------------------------------------------------- B7/B8 ----
@@ -286,6 +294,14 @@ def q_natural_sort(spark, sf_dir):
                     T.simple_sort("n").alias("sorted_name1"))
 
 
+#: The twin of the threshold query on the 13 measures of sorted names.
+SORTED_SQL = V.with_views(f"""
+, canon AS (SELECT idx, Class, {Q.canon('Name1')} AS c1, {Q.canon('Name2')} AS c2 FROM pairs),
+src AS (SELECT idx, Class, {_natural_sql('c1')} AS s1, {_natural_sql('c2')} AS s2 FROM canon),
+{measures_sql('src')}, bare AS (SELECT * EXCLUDE (idx, sorted_winkler) FROM scores),
+{threshold_sql('bare')}""", "pairs", recursive=True)
+
+
 # ---------------------------------------------------------------- F1 -------
 
 from toposim.functions.termsplit import special_terms  # noqa: E402

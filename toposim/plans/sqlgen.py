@@ -79,11 +79,11 @@ def ascii_safe(s: str) -> str:
     return f"translate({s}, '{_BYTE_SAFE_FROM}', '{_BYTE_SAFE_TO}')"
 
 
-def jw_from_jaro(s1: str, s2: str) -> str:
-    """Jaro-Winkler from DuckDB's ``jaro_similarity`` with the prefix rule
-    written out: w > 0.7, both lengths > 3, common prefix up to 4 that
-    stops at a digit; an empty side scores 0."""
-    j = f"jaro_similarity({ascii_safe(s1)}, {ascii_safe(s2)})"
+def jw_from_jaro(s1: str, s2: str, j: str | None = None) -> str:
+    """Jaro-Winkler from DuckDB's ``jaro_similarity`` (or ``j``) with the
+    prefix rule written out: w > 0.7, both lengths > 3, common prefix up to
+    4 that stops at a digit; an empty side scores 0."""
+    j = j or f"jaro_similarity({ascii_safe(s1)}, {ascii_safe(s2)})"
     pre = (f"(CASE WHEN substr({s1},1,1) = substr({s2},1,1) AND NOT regexp_matches(substr({s1},1,1), '[0-9]') THEN "
            f"(CASE WHEN substr({s1},2,1) = substr({s2},2,1) AND NOT regexp_matches(substr({s1},2,1), '[0-9]') THEN "
            f"(CASE WHEN substr({s1},3,1) = substr({s2},3,1) AND NOT regexp_matches(substr({s1},3,1), '[0-9]') THEN "
@@ -91,7 +91,7 @@ def jw_from_jaro(s1: str, s2: str) -> str:
            f"THEN 4 ELSE 3 END) ELSE 2 END) ELSE 1 END) ELSE 0 END)")
     return (f"(CASE WHEN length({s1}) = 0 OR length({s2}) = 0 THEN 0.0 "
             f"WHEN {j} > 0.7 AND length({s1}) > 3 AND length({s2}) > 3 "
-            f"THEN {j} + {pre} * 0.1 * (1.0 - {j}) ELSE {j} END)")
+            f"THEN {j} + {pre} * 0.1::DOUBLE * (1.0 - {j}) ELSE {j} END)")
 
 
 def jaro(s1: str, s2: str) -> str:
