@@ -6,17 +6,27 @@ from pyspark.sql import functions as F
 
 from toposim.functions import params as P
 from toposim.functions import text as T
-from toposim.functions.registry import base_name, in_group
+from toposim.functions.registry import MEASURES, base_name, in_group
 from toposim.functions.termsplit import align_pairs, lgm_scores
 from toposim.plans import sqlgen as Q
 from toposim.plans import views as V
 from toposim.plans.catalog import register, rnd
-from toposim.plans.queries_core import BASIC_SQL, SORTED_SQL, _natural_sql, measures_sql
+from toposim.plans.queries_core import BASIC_SQL, SORTED_SQL, _natural_sql, _nums_sql, _street_sql, measures_sql
+from toposim.plans.features import LIST_SCORE_COLS
+from toposim.plans.queries_eval import _dist_sql
 from toposim.plans.queries_terms import _NAMES_SRC, _terms_sql
 from toposim.plans.views import fixture_frequent_terms
 
 _LISTS = ("base", "mis", "spec")
 
+#: Aligned names: ``al`` (idx, x1, x2).
+_ALIGNED_SQL = f"""canon AS (SELECT idx, {Q.canon('Name1')} AS c1, {Q.canon('Name2')} AS c2 FROM pairs),
+bare0 AS (SELECT idx, replace(c1, ' ', '') AS p1, replace(c2, ' ', '') AS p2 FROM canon),
+{Q.osa_ctes('bare0', 'idx', 'p1', 'p2', 'dns')}, {Q.osa_ctes('canon', 'idx', 'c1', 'c2', 'dsp')},
+al0 AS (SELECT idx, c1, c2, {Q.osa_sim('dns')} AS ns, {Q.osa_sim('dsp')} AS sp FROM canon JOIN dns USING (idx) JOIN dsp USING (idx)),
+al AS (SELECT idx, CASE WHEN ns < {T.SORT_THRESHOLD} THEN {_natural_sql('c1')} WHEN ns > sp THEN replace(c1, ' ', '') ELSE c1 END AS x1,
+              CASE WHEN ns < {T.SORT_THRESHOLD} THEN {_natural_sql('c2')} WHEN ns > sp THEN replace(c2, ' ', '') ELSE c2 END AS x2 FROM al0)"""
+
 
 def _lgm_sql() -> str:
     """The twin of the meta-similarities: every list in rows, distinct pairs of lists scored once."""
@@ -29,7 +39,6 @@ def _lgm_sql() -> str:
         weights.append(f"('{m}', '{base_name(m)}', {k}, {', '.join(f'{x}::DOUBLE' for x in w)})")
     thr, _ = P.lookup("latin", listed, "avg", False)
     list_key = keys[thr, False]
-    canon = Q.canon
     start = "{'i': 0::BIGINT, 'j': 0::BIGINT, 'ba': []::VARCHAR[], 'bb': []::VARCHAR[], 'ma': []::VARCHAR[], 'mb': []::VARCHAR[]}"
 
     def state(i, j, **changed):
@@ -62,12 +71,7 @@ cut{n} AS (SELECT idx, rev, spec, list_filter(regexp_split_to_array(trim(CASE WH
     return V.with_views(_terms_sql(_NAMES_SRC, "term") + f"""
 , top AS (SELECT gram FROM res ORDER BY "count" DESC, stem, gram LIMIT 400),
 often AS (SELECT list(term) AS l FROM (SELECT gram AS term FROM top UNION SELECT reverse(gram) FROM top)),
-canon AS (SELECT idx, {canon('Name1')} AS c1, {canon('Name2')} AS c2 FROM pairs),
-bare0 AS (SELECT idx, replace(c1, ' ', '') AS p1, replace(c2, ' ', '') AS p2 FROM canon),
-{Q.osa_ctes('bare0', 'idx', 'p1', 'p2', 'dns')}, {Q.osa_ctes('canon', 'idx', 'c1', 'c2', 'dsp')},
-al0 AS (SELECT idx, c1, c2, {Q.osa_sim('dns')} AS ns, {Q.osa_sim('dsp')} AS sp FROM canon JOIN dns USING (idx) JOIN dsp USING (idx)),
-al AS (SELECT idx, CASE WHEN ns < {T.SORT_THRESHOLD} THEN {_natural_sql('c1')} WHEN ns > sp THEN replace(c1, ' ', '') ELSE c1 END AS x1,
-              CASE WHEN ns < {T.SORT_THRESHOLD} THEN {_natural_sql('c2')} WHEN ns > sp THEN replace(c2, ' ', '') ELSE c2 END AS x2 FROM al0),
+{_ALIGNED_SQL},
 dirs AS MATERIALIZED (SELECT idx, rev, {turned.format('x1')} AS y1, {turned.format('x2')} AS y2 FROM al, (VALUES (false), (true)) v(rev)),
 {terms(1, 'y1').strip()}, {terms(2, 'y2').strip()},
 toks AS (SELECT idx, rev, cut1.toks AS A, cut2.toks AS B, cut1.spec AS speca, cut2.spec AS specb,
@@ -144,3 +148,35 @@ def q_best_sorted(spark, sf_dir):
     s = score_pairs(p, "a", "b", ms)
     b = best_threshold(accuracy_by_threshold(s, "Class", ms))
     return b.select("measure", "threshold", rnd(F.col("accuracy"), 9).alias("accuracy"))
+
+
+def _features_sql() -> str:
+    """The twin of the feature table: distinct pairs of street names, names
+    and aligned names scored once, beside the meta-similarity's twin."""
+    shown = []
+    for job, group in enumerate(("basic", "basic", "sorted")):
+        for m in in_group(group):
+            name = MEASURES[m][2]
+            shown.append(f"round(j{job}.{m}, 6) AS {[name + '_on_street_names', name, 'Sorted_' + name][job]}")
+    shown += [f"lg.lgm_{m} AS LGM_{MEASURES[m][2]}" for m in in_group("lgm")] + [f"lg.{c}" for c in LIST_SCORE_COLS]
+    scaled = ", ".join(f"round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 6) AS {c}"
+                       for c in ("street_numbers_diff", "point_dist"))
+    nums = lambda n: f"CASE WHEN len({_nums_sql(f'Address{n}')}) = 0 THEN [0::DECIMAL(38, 0)] ELSE {_nums_sql(f'Address{n}')} END AS n{n}"
+    return V.with_views(f"""
+, {_ALIGNED_SQL},
+jobs AS MATERIALIZED (SELECT idx, 0 AS job, {_street_sql('Address1')} AS s1, {_street_sql('Address2')} AS s2 FROM pairs
+  UNION ALL SELECT idx, 1, Name1, Name2 FROM pairs UNION ALL SELECT idx, 2, x1, x2 FROM al),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS idx, 0 AS Class, s1, s2 FROM (SELECT DISTINCT s1, s2 FROM jobs)),
+{measures_sql('texts').replace('scores AS (', 'scores AS MATERIALIZED (')},
+got AS MATERIALIZED (SELECT jobs.idx, job, scores.* EXCLUDE (idx, Class) FROM jobs JOIN texts USING (s1, s2) JOIN scores ON scores.idx = texts.idx),
+lg AS MATERIALIZED ({_lgm_sql()}),
+num AS (SELECT idx, {_dist_sql()} AS point_dist, {nums(1)}, {nums(2)} FROM pairs),
+gap AS (SELECT idx, point_dist, CAST(list_min(flatten(list_transform(n1, lambda x: list_transform(n2, lambda y: abs(x - y))))) AS DOUBLE) AS street_numbers_diff FROM num),
+scaled AS (SELECT idx, {scaled} FROM gap)
+SELECT p.idx AS "index", street_numbers_diff, {', '.join(shown)}, point_dist, p.Class AS class
+FROM pairs p JOIN scaled USING (idx) JOIN lg USING (idx) JOIN got j0 ON j0.idx = p.idx AND j0.job = 0
+JOIN got j1 ON j1.idx = p.idx AND j1.job = 1 JOIN got j2 ON j2.idx = p.idx AND j2.job = 2""", "pairs", recursive=True)
+
+
+#: The twin of the feature query.
+FEATURES_SQL = _features_sql()

@@ -1,5 +1,6 @@
-"""Feature build and learning queries (N5, M1-M9, L1).  No SQL twin:
-these are checked rows-only here and by unit tests."""
+"""Feature build and learning queries (N5, M1-M9, L1).  The feature table
+has a SQL twin; the learning queries are checked rows-only and by unit
+tests."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from toposim.plans import views as V
 from toposim.plans.catalog import register, rnd
 from toposim.plans.features import build_features, feature_names
+from toposim.plans.queries_lgm import FEATURES_SQL
 from toposim.plans.models import evaluate, fit, importances, tune
 from toposim.plans.views import fixture_frequent_terms
 from toposim.session import checkpoint_dir
@@ -27,7 +29,7 @@ def fixture_features(spark, sf_dir, group: str = "lgm"):
     return _FEATURES[key]
 
 
-@register("features_lgm")
+@register("features_lgm", FEATURES_SQL)
 def q_features(spark, sf_dir):
     """The 59-column lgm feature table of the pairs."""
     f = fixture_features(spark, sf_dir)
