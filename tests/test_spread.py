@@ -54,3 +54,13 @@ def test_special_terms_from_a_set(spark):
     assert [(r.p, r.c.split()) for r in d.collect()] == [(["a", "st", "st.main"], ["x"]), ([], []), ([], ["x"])]
     spec, cut = termsplit.special_terms(F.lit("a"), [])
     assert spark.range(1).select(spec, cut).first()[:] == ([], "a")
+
+
+def test_token_pairs_are_distinct_strings(spark):
+    """Structs would be made distinct by comparing all with all."""
+    lists = [(F.split("a", " ", -1), F.split("b", " ", -1)), (F.split("b", " ", -1), F.split("a", " ", -1))]
+    d = spark.createDataFrame([("a  b", "b b"), ("", "x")], "a string, b string")
+    met = d.select(tokenpairs.met(lists).alias("m"))
+    assert met.schema["m"].dataType.simpleString() == "array<string>"
+    got = [{(t["x"], t["y"]) for t in r[tokenpairs.WEIGHTS]} for r in tokenpairs.attach(d, lists).orderBy(F.desc("a")).collect()]
+    assert got == [{("a", "b"), ("", "b"), ("b", "b"), ("b", "a"), ("b", "")}, {("", "x"), ("x", "")}]
