@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from toposim.functions import termsplit
 from toposim.functions.grams import dice_bigrams, gram_cosine, gram_jaccard, skipgram_jaccard
-from toposim.operators import tokenpairs
+from toposim.operators import pairgen, tokenpairs
 from toposim.operators.scoring import score_pairs
 from toposim.operators.terms import frequent_set, term_counts
 from toposim.plans import views as V
@@ -64,3 +64,17 @@ def test_token_pairs_are_distinct_strings(spark):
     assert met.schema["m"].dataType.simpleString() == "array<string>"
     got = [{(t["x"], t["y"]) for t in r[tokenpairs.WEIGHTS]} for r in tokenpairs.attach(d, lists).orderBy(F.desc("a")).collect()]
     assert got == [{("a", "b"), ("", "b"), ("b", "b"), ("b", "a"), ("b", "")}, {("", "x"), ("x", "")}]
+
+
+def test_positive_and_hard_pairs_use_the_arrow_call(spark):
+    rows = [(1, "Main Street", "main street", "Rue Main,MAIN STREET"), (2, "Main Road", "road", "Road Main,Strasse")]
+    gaz = spark.createDataFrame(rows, "geonameid long, name string, asciiname string, alternate_names string").withColumn("country_code", F.lit("C1"))
+    pl = pairgen.places(gaz)
+    got = pairgen.positive_pairs(pl)
+    assert "ArrowEvalPython" in plan(got) and got.columns == ["n1", "n2", "id", "country"]
+    pairs = {(r.n1, r.n2) for r in got.where("id = 1").collect()}
+    assert pairs == {("MAIN STREET", "Rue Main"), ("Main Street", "Rue Main"), ("Rue Main", "main street")}
+    hard = pairgen.hard_pairs(gaz, per_place=100).where("status = 0")
+    want = spark.createDataFrame([(x, y) for x in ("MAIN STREET", "Main Street", "Rue Main", "main street") for y in ("Main Road", "Road Main", "Strasse", "road")], "x string, y string")
+    want = want.where((gram_jaccard("x", "y") > 0) & (F.lower("x") != F.lower("y")))
+    assert {(r.s1, r.s2) for r in hard.collect()} == {(r.x, r.y) for r in want.collect()}

@@ -18,8 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toposim.functions.grams import gram_jaccard
 from toposim.functions.text import detect_alphabet, only_alphabet
+from toposim.operators.scoring import score_pairs
 from toposim.operators.splits import _rank, balanced_sample
 from toposim.session import materialize
 
@@ -60,7 +60,8 @@ def positive_pairs(pl: DataFrame) -> DataFrame:
     """``(n1, n2, id, country)`` for every name pair of a place."""
     first = pl.select("id", "country", "names", F.posexplode("names").alias("i", "n1"))
     ex = first.select("n1", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("n2"), "id", "country")
-    return ex.where(gram_jaccard(F.lower("n1"), F.lower("n2")) != 1.0)
+    ex = ex.select("*", F.lower("n1").alias("_l1"), F.lower("n2").alias("_l2"))
+    return score_pairs(ex, "_l1", "_l2", ["jaccard"], "_").where("_jaccard != 1.0").select("n1", "n2", "id", "country")
 
 
 def _hash_int(*cols) -> Column:
@@ -139,7 +140,8 @@ def hard_pairs(gaz: DataFrame, per_place: int = 2, alt_min_len: int = 3, min_nam
     cand = pairs.select("id", "country", "pid", "pcountry",
                         F.explode("pnames").alias("x"), "names") \
         .select("id", "country", "pid", "pcountry", "x", F.explode("names").alias("y")) \
-        .where((gram_jaccard(F.col("x"), F.col("y")) > 0) & (F.lower("x") != F.lower("y")))
+        .where(F.lower("x") != F.lower("y"))
+    cand = score_pairs(cand, "x", "y", ["jaccard"], "_").where("_jaccard > 0").drop("_jaccard")
     key = F.md5(F.concat_ws("|", F.col("x"), F.col("y"), F.lit(str(seed))))
     w = Window.partitionBy("id").orderBy(key)
     neg = cand.select("*", F.row_number().over(w).alias("rn")).where(F.col("rn") <= per_place) \
