@@ -134,3 +134,22 @@ def test_hot_cell_and_empty(spark, world):
     assert within_matches(points.where("false"), polys).count() == 0
     assert within_matches(points, polys.where("false")).count() == 0
     assert nearby_matches(points, polys.where("false")).count() == 0
+
+
+def test_a_point_takes_the_best_of_a_row_of_edges(spark):
+    from toposim.operators.cover import _cell_rows, edges_of, nearest
+
+    polys = spark.createDataFrame([(k, [[(float(k), 0.0), (k + 0.5, 0.0), (k + 0.5, 0.5), (float(k), 0.0)]]) for k in range(40)],
+                                  "id long, rings array<array<struct<x:double,y:double>>>")
+    edges = edges_of(polys)
+    rows = _cell_rows(edges, 1024.0, row=8)
+    held = {}
+    for r in rows.collect():
+        assert len(r.edges) < 40  # 120 edges of a cell, about 8 a row
+        held.setdefault((r.cx, r.cy), []).extend(tuple(e) for e in r.edges)
+    want = sorted(tuple(r) for r in edges.collect())
+    assert held and all(sorted(h) == want for h in held.values())
+    points = spark.createDataFrame([(1, 5.2, 30.0), (2, 500.0, -3.0), (2, 3.1, -1.0)], "poi_id long, x double, y double")
+    got = {r.poi_id: (r.id, round(r.distance, 6)) for r in nearest(points, polys).collect()}
+    assert got[2] == (3, 1.0)
+    assert got[1][0] in (4, 5) and abs(got[1][1] - 29.5) < 0.05

@@ -17,7 +17,10 @@ reach, so a point sees every edge within one cell side.  If the best of
 them is no further than that, nothing else can be nearer and the point
 is settled; the others go on with cells four times as long.  The first
 side is the least at which the edges fill at most ``FILL`` cells each,
-counted for all lengths in one pass.
+counted for all lengths in one pass.  A cell's edges come in rows of
+about ``ROW`` and a point takes the best of a row where it meets it, so
+what is aggregated per point grows with the points, not with the edges
+they see.
 
 A hot cell is split by AQE's skew join (all tests are row-local, and the
 best per point is a partial aggregate).
@@ -39,6 +42,8 @@ from toposim.session import materialize, ship
 EDGES, DEPTH = 8, 10
 #: Grid cells an edge fills on average in the first round of ``nearest``.
 FILL = 4
+#: Edges of a grid cell that a row of the join holds on average at most.
+ROW = 256
 _EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
 _COVER = f"e int, cx long, cy long, inside boolean, rx double, ry double, edges array<{_EDGE}>"
 
@@ -190,12 +195,13 @@ def located(points: DataFrame, polys: DataFrame) -> DataFrame:
     return d.where("inside OR border").select("poi_id", "id", (~F.col("border")).alias("within"))
 
 
-def _distance() -> Column:
-    """From (x, y) to the edge of the same row."""
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+def _distance(e: Column | None = None) -> Column:
+    """From (x, y) to the edge ``e``, or to that of the same row."""
+    ax, ay, bx, by = (F.col(k) if e is None else e[k] for k in ("ax", "ay", "bx", "by"))
+    dx, dy = bx - ax, by - ay
     square = dx * dx + dy * dy
-    t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / square)))
-    return F.sqrt((F.col("x") - (F.col("ax") + t * dx)) ** 2 + (F.col("y") - (F.col("ay") + t * dy)) ** 2)
+    t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - ax) * dx + (F.col("y") - ay) * dy) / square)))
+    return F.sqrt((F.col("x") - (ax + t * dx)) ** 2 + (F.col("y") - (ay + t * dy)) ** 2)
 
 
 def _cells(edges: DataFrame, side: float) -> DataFrame:
@@ -206,6 +212,16 @@ def _cells(edges: DataFrame, side: float) -> DataFrame:
     return d.select("*", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))).alias("cy"))
 
 
+def _cell_rows(edges: DataFrame, side: float, row: int = ROW) -> DataFrame:
+    """(cx, cy, edges): the edges of every cell, dealt by hash to as many
+    rows as they need."""
+    cells = _cells(edges, side)
+    rows = cells.groupBy("cx", "cy").agg(F.ceil(F.count("*") / row).alias("rows"))
+    mine = F.pmod(F.xxhash64("id", "ax", "ay", "bx", "by"), F.col("rows"))
+    held = cells.join(rows, ["cx", "cy"]).groupBy("cx", "cy", mine.alias("row"))
+    return held.agg(F.collect_list(F.struct("id", "ax", "ay", "bx", "by")).alias("edges")).drop("row")
+
+
 def _first_side(edges: DataFrame) -> tuple[float, float]:
     """(side of the first round, length that spans all edges)."""
     box = edges.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
@@ -234,7 +250,7 @@ def nearest(points: DataFrame, polys: DataFrame, dist_max: float | None = None)
     inside = materialize(located(points, polys).groupBy("poi_id").agg(F.min("id").alias("id")), "located")
     done = inside.select("poi_id", "id", F.lit(0.0).alias("distance"))
     left = materialize(points.select("poi_id", "x", "y").join(inside, "poi_id", "left_anti"), "unsettled")
-    edges = materialize(edges_of(polys), "edges")
+    edges = materialize(edges_of(polys).distinct(), "edges")
     side, span = _first_side(edges)
     if not span:
         return done
@@ -243,8 +259,9 @@ def nearest(points: DataFrame, polys: DataFrame, dist_max: float | None = None)
     while left.limit(1).count():
         last = side >= 2 * (ends + widest) or dist_max is not None and side >= dist_max
         at = left.select("*", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-        best = at.join(_cells(edges, side), ["cx", "cy"]).groupBy("poi_id").agg(
-            F.min(F.struct(F.round(_distance(), 9).alias("r"), "id", _distance().alias("d"))).alias("b"))
+        one = F.array_min(F.transform("edges", lambda e: F.struct(F.round(_distance(e), 9).alias("r"), e["id"].alias("id"), _distance(e).alias("d"))))
+        cells = materialize(_cell_rows(edges, side), "cells")  # of known size: few are broadcast
+        best = at.join(cells, ["cx", "cy"]).select("poi_id", one.alias("b")).groupBy("poi_id").agg(F.min("b").alias("b"))
         best = best.where(F.lit(last) | (F.col("b.r") < side))
         best = materialize(best.select("poi_id", "b.id", F.col("b.d").alias("distance"), "b.r"), "settled")
         done = done.unionByName((best if dist_max is None else best.where(F.col("r") < dist_max)).drop("r"))
