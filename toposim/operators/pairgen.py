@@ -94,7 +94,7 @@ def build_dataset(gaz: DataFrame, n_max: int | None = None, min_names: int = MIN
     """Positives + negatives in the 9-column layout, de-duplicated
     (H10), balanced and interleaved (I3, ``pos`` = interleave position)."""
     pl = materialize(places(gaz, min_names, alphabet=alphabet), "places")
-    pos = positive_pairs(pl)
+    pos = materialize(positive_pairs(pl), "positives")  # scored once, read twice
     neg = negative_pairs(pos, pl, seed)
     a = pos.select(F.col("n1").alias("s1"), F.col("n2").alias("s2"), F.lit(1).alias("status"),
                    F.col("id").cast("string").alias("id1"), F.col("id").cast("string").alias("id2"),
